@@ -27,6 +27,14 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a one-element ``transform``).
+
+    Spark does not share sub-expressions inside lambdas, so an array expression used
+    many times in a higher-order function would be recomputed on every call."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c) -> Column:
     """Python ``str.strip()`` over ASCII whitespace (``trim`` keeps newlines)."""
     return F.regexp_replace(_c(c), f"^{WS_CLASS}+|{WS_CLASS}+$", "")

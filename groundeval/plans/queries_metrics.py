@@ -1,3 +1,183 @@
-"""metrics queries."""
+"""Metric and parser queries over the question/answer pairs derived from ``conversations``."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from groundeval.functions import answers as A
+from groundeval.functions.text import normalized_tokens, whitespace_tokens
+from groundeval.operators import metrics as M
+from groundeval.plans import duck as D
+from groundeval.plans import fixtures as fx
+from groundeval.plans.catalog import register
+
+# Run of a pair for run-level aggregates: conv_id % 7.
+RUN_EXPR_SQL = "conv_id % 7"
+
+
+def _pairs(spark, d):
+    return fx.pairs(spark, d).withColumn("run_id", (F.col("conv_id") % 7).cast("long"))
+
+
+def _per_gold(spark, d):
+    p = _pairs(spark, d)
+    return p.select("pair_id", "answer", "explanation", F.posexplode("golds").alias("gold_idx", "gold"))
+
+
+_PER_GOLD_SQL = "WITH " + fx.PAIRS_SQL + """,
+pg AS (
+  SELECT pair_id, answer, explanation, unnest(golds) AS gold, (generate_subscripts(golds, 1) - 1)::INT AS gold_idx
+  FROM pairs
+)"""
+
+
+@register("metric_em", _PER_GOLD_SQL + f"""
+SELECT pair_id, gold_idx, {D.em(D.norm_tokens('answer'), D.norm_tokens('gold'))} AS em FROM pg""", "S6")
+def metric_em(spark, d):
+    return _per_gold(spark, d).select("pair_id", "gold_idx", M.exact_match("answer", "gold").alias("em"))
+
+
+@register("metric_f1", _PER_GOLD_SQL + f"""
+SELECT pair_id, gold_idx, {D.f1(D.norm_tokens('answer'), D.norm_tokens('gold'))} AS f1 FROM pg""", "S7")
+def metric_f1(spark, d):
+    return _per_gold(spark, d).select("pair_id", "gold_idx", M.token_f1("answer", "gold").alias("f1"))
+
+
+@register("metric_rouge_l", _PER_GOLD_SQL + f""",
+tk AS (SELECT pair_id, gold_idx, {D.ws_tokens('explanation')} AS p, {D.ws_tokens('gold')} AS g FROM pg)
+SELECT pair_id, gold_idx, {D.rougel('p', 'g')} AS rougel FROM tk""", "S8")
+def metric_rouge_l(spark, d):
+    return _per_gold(spark, d).select("pair_id", "gold_idx", M.rouge_l("explanation", "gold").alias("rougel"))
+
+
+_MAX_SQL = _PER_GOLD_SQL + f""",
+tk AS (SELECT pair_id, gold_idx, {D.norm_tokens('answer')} AS pa, {D.norm_tokens('gold')} AS ga,
+              {D.ws_tokens('explanation')} AS pe, {D.ws_tokens('gold')} AS ge FROM pg),
+sc AS (SELECT pair_id, max({D.em('pa', 'ga')}) AS em, max({D.f1('pa', 'ga')}) AS f1, max({D.rougel('pe', 'ge')}) AS rougel
+       FROM tk GROUP BY pair_id)"""
+
+
+@register("max_over_golds", _MAX_SQL + "\nSELECT pair_id, em, f1, rougel FROM sc", "E2")
+def max_over_golds(spark, d):
+    return M.score_pairs(_pairs(spark, d)).select("pair_id", "em", "f1", "rougel")
+
+
+@register("run_metrics", _MAX_SQL.replace("WITH ", "WITH ", 1) + """,
+runs AS (SELECT sc.*, (p.conv_id % 7)::BIGINT AS run_id FROM sc JOIN pairs p USING (pair_id))
+SELECT run_id, round(avg(em), 9) AS em, round(avg(f1), 9) AS f1, round(avg(rougel), 9) AS rougel, count(*)::BIGINT AS n
+FROM runs GROUP BY run_id""", "E1")
+def run_metrics(spark, d):
+    r = M.run_metrics(M.score_pairs(_pairs(spark, d)))
+    return r.select("run_id", *[F.round(m, 9).alias(m) for m in ("em", "f1", "rougel")], "n")
+
+
+def _bleu_sql() -> str:
+    b = f"""b AS (
+  SELECT pair_id, (conv_id % 7)::BIGINT AS run_id, {D.bleu_tokens('explanation')} AS h,
+         list_transform(golds, lambda r: {D.bleu_tokens('r')}) AS rs
+  FROM pairs
+)"""
+    hg = " UNION ALL ".join(f"SELECT run_id, pair_id, {n} AS n, unnest({D.ngram_sql('h', n)}) AS gram FROM b" for n in range(1, 5))
+    rx = "rx AS (SELECT run_id, pair_id, unnest(rs) AS r, generate_subscripts(rs, 1) AS ridx FROM b)"
+    rg = " UNION ALL ".join(f"SELECT pair_id, ridx, {n} AS n, unnest({D.ngram_sql('r', n)}) AS gram FROM rx" for n in range(1, 5))
+    closest = "list_min(list_transform(rs, lambda r: abs(len(r) - len(h)) * 1000000 + len(r))) % 1000000"
+    tot = ", ".join(f"sum(greatest(len(h) - {n - 1}, 0))::BIGINT AS total_{n}" for n in range(1, 5))
+    cor = ", ".join(f"sum(CASE WHEN n = {n} THEN c ELSE 0 END)::BIGINT AS c{n}" for n in range(1, 5))
+    z = []
+    for n in range(1, 5):
+        z.append(" + ".join(f"(CASE WHEN c{i} = 0 THEN 1 ELSE 0 END)" for i in range(1, n + 1)))
+    ps = [f"(CASE WHEN c{n} = 0 THEN 100.0 / (pow(2, {z[n - 1]}) * total_{n}) ELSE 100.0 * c{n} / total_{n} END)" for n in range(1, 5)]
+    score = (
+        "CASE WHEN (c1 = 0 AND c2 = 0 AND c3 = 0 AND c4 = 0) OR total_1 = 0 OR total_2 = 0 OR total_3 = 0 OR total_4 = 0 THEN 0.0 "
+        "ELSE (CASE WHEN sys_len < ref_len THEN (CASE WHEN sys_len > 0 THEN exp(1 - ref_len / sys_len) ELSE 0.0 END) ELSE 1.0 END) * exp(("
+        + " + ".join(f"ln({p})" for p in ps)
+        + ") / 4) END"
+    )
+    return "WITH " + fx.PAIRS_SQL + f""",
+{b},
+hg AS ({hg}),
+hc AS (SELECT run_id, pair_id, n, gram, count(*) AS ch FROM hg GROUP BY ALL),
+{rx},
+rg AS ({rg}),
+rc AS (SELECT pair_id, n, gram, max(c) AS cr FROM (SELECT pair_id, ridx, n, gram, count(*) AS c FROM rg GROUP BY ALL) GROUP BY ALL),
+clip AS (SELECT hc.run_id, hc.n, least(hc.ch, coalesce(rc.cr, 0)) AS c FROM hc LEFT JOIN rc
+         ON hc.pair_id = rc.pair_id AND hc.n = rc.n AND hc.gram = rc.gram),
+corr AS (SELECT run_id, {cor} FROM clip GROUP BY run_id),
+tot AS (SELECT run_id, sum(len(h))::BIGINT AS sys_len, sum({closest})::BIGINT AS ref_len, {tot} FROM b GROUP BY run_id),
+f AS (SELECT tot.*, coalesce(c1, 0) AS c1, coalesce(c2, 0) AS c2, coalesce(c3, 0) AS c3, coalesce(c4, 0) AS c4
+      FROM tot LEFT JOIN corr USING (run_id))
+SELECT run_id, round({score}, 9) AS bleu, sys_len, ref_len,
+       c1::BIGINT AS correct_1, c2::BIGINT AS correct_2, c3::BIGINT AS correct_3, c4::BIGINT AS correct_4,
+       total_1, total_2, total_3, total_4
+FROM f"""
+
+
+@register("corpus_bleu", _bleu_sql(), "E3")
+def corpus_bleu(spark, d):
+    b = M.corpus_bleu(_pairs(spark, d), "pair_id", "explanation", "golds", group=["run_id"])
+    return b.withColumn("bleu", F.round("bleu", 9))
+
+
+def _parse_sql() -> str:
+    x = "pred_semicolon"
+    sc = f"string_split({x}, ';')"
+    nl = "string_split(lower(pred_newline), 'explanation')"
+    js_ok = ("(json_valid(pred_json) AND json_extract_string(pred_json, '$.answer') IS NOT NULL "
+             "AND json_extract_string(pred_json, '$.explanation') IS NOT NULL)")
+    return "WITH " + fx.FORMATTED_SQL + f"""
+SELECT pair_id,
+       {sc}[1] AS sc_answer,
+       CASE WHEN len({sc}) > 1 THEN {D.strip(sc + '[2]')} ELSE {x} END AS sc_explanation,
+       upper(substr({sc}[1], 1, 1)) AS mc_answer,
+       replace(replace({nl}[1], 'answer:', ''), chr(10), '') AS nl_answer,
+       replace(replace(array_to_string({nl}[2:], ' '), 'explanation:', ''), chr(10), '') AS nl_explanation,
+       CASE WHEN {js_ok} THEN json_extract_string(pred_json, '$.answer') ELSE pred_json END AS js_answer,
+       CASE WHEN {js_ok} THEN json_extract_string(pred_json, '$.explanation') ELSE pred_json END AS js_explanation
+FROM formatted"""
+
+
+@register("parse_answer", _parse_sql(), ("S1", "S2", "S3", "S4", "S5"))
+def parse_answer(spark, d):
+    f = fx.formatted_preds(spark, d)
+    sc_a, sc_e = A.parse_semicolon("pred_semicolon")
+    mc_a, _ = A.parse_choice("pred_semicolon")
+    nl_a, nl_e = A.parse_newline("pred_newline")
+    js_a, js_e = A.parse_json("pred_json")
+    return f.select(
+        "pair_id",
+        sc_a.alias("sc_answer"), sc_e.alias("sc_explanation"), mc_a.alias("mc_answer"),
+        nl_a.alias("nl_answer"), nl_e.alias("nl_explanation"), js_a.alias("js_answer"), js_e.alias("js_explanation"),
+    )
+
+
+@register("quote_extract", f"""
+SELECT doc_id,
+       array_to_string(list_transform(
+         list_filter(regexp_extract_all(text, {D.lit(A.QUOTE_PATTERN)}, 0),
+                     lambda s: length(s) >= 2 AND left(s, 1) = right(s, 1)),
+         lambda s: substr(s, 2, length(s) - 2)), '<SEP>') AS quotes
+FROM documents""", "S9")
+def quote_extract(spark, d):
+    return fx.table(spark, d, "documents").select("doc_id", A.extract_quotes("text").alias("quotes"))
+
+
+@register("coerce_refs", "WITH " + fx.PAIRS_SQL + """
+SELECT pair_id,
+       CASE WHEN r IS NULL OR len(r) = 0 OR r[1] IS NULL THEN ['empty ref'] ELSE r END AS refs
+FROM (SELECT pair_id,
+             CASE turn % 4 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN [NULL, question] WHEN 2 THEN golds ELSE NULL::VARCHAR[] END AS r
+      FROM pairs)""", "D5")
+def coerce_refs(spark, d):
+    p = fx.pairs(spark, d)
+    t = F.col("turn") % 4
+    raw = (
+        F.when(t == 0, F.array().cast("array<string>"))
+        .when(t == 1, F.array(F.lit(None).cast("string"), F.col("question")))
+        .when(t == 2, F.col("golds"))
+        .otherwise(F.lit(None).cast("array<string>"))
+    )
+    return p.select("pair_id", A.coerce_refs(raw).alias("refs"))
+
+
+# normalised tokens are exported for reuse by evaluate/rescore
+__all__ = ["normalized_tokens", "whitespace_tokens"]

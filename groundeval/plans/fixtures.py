@@ -136,3 +136,92 @@ runs AS (
          l_quantity AS bleu, l_partkey AS total_tokens_used, l_suppkey AS n_answers
   FROM lineitem
 )"""
+
+
+# ------------------------------------------------------------- configs, prompts, QA table
+# Dataset names of the reference's headline table, used as stand-in names.
+DATASET_NAMES = ["nq_open", "trivia_qa", "hotpot", "ELI5_dev"]
+_NAMES_SQL = "['nq_open', 'trivia_qa', 'hotpot', 'ELI5_dev']"
+
+
+def configs(spark, d) -> DataFrame:
+    """One configuration per supplier; prompt set = s_nationkey % 5 (a region of prompts)."""
+    s = table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    return s.select(
+        k.cast("long").alias("config_id"),
+        F.when(k % 3 == 0, F.concat(F.lit("You answer as "), F.col("s_name"), F.lit(".\n"))).otherwise(F.lit("")).alias("prompt_before"),
+        F.when(k % 2 == 0, F.lit("? ")).otherwise(F.lit("")).alias("prompt_after"),
+        F.element_at(F.array(F.lit("gpt3"), F.lit("t5"), F.lit("gpt-j")), (F.col("s_nationkey") % 3 + 1).cast("int")).alias("model_name"),
+        F.col("s_name").alias("specific_name"),
+        (k % 50 + 1).cast("long").alias("num_examples"),
+        (F.col("s_acctbal") / 10000).alias("temperature"),
+        F.element_at(F.array(*[F.lit(n) for n in DATASET_NAMES]), (F.col("s_nationkey") % 4 + 1).cast("int")).alias("dataset_name"),
+        F.element_at(F.array(F.lit("newline"), F.lit("json"), F.lit("semicolon"), F.lit("semicolon"), F.lit("semicolon")),
+                     (k % 5 + 1).cast("int")).alias("output_format"),
+        (F.col("s_nationkey") % 5).cast("long").alias("prompt_set"),
+    )
+
+
+CONFIGS_SQL = f"""
+configs AS (
+  SELECT s_suppkey::BIGINT AS config_id,
+         CASE WHEN s_suppkey % 3 = 0 THEN 'You answer as ' || s_name || '.' || chr(10) ELSE '' END AS prompt_before,
+         CASE WHEN s_suppkey % 2 = 0 THEN '? ' ELSE '' END AS prompt_after,
+         (['gpt3', 't5', 'gpt-j'])[s_nationkey % 3 + 1] AS model_name,
+         s_name AS specific_name,
+         (s_suppkey % 50 + 1)::BIGINT AS num_examples,
+         s_acctbal / 10000 AS temperature,
+         ({_NAMES_SQL})[s_nationkey % 4 + 1] AS dataset_name,
+         (['newline', 'json', 'semicolon', 'semicolon', 'semicolon'])[s_suppkey % 5 + 1] AS output_format,
+         (s_nationkey % 5)::BIGINT AS prompt_set
+  FROM supplier
+)"""
+
+
+def prompts(spark, d) -> DataFrame:
+    """One prompt per nation, grouped in sets by region."""
+    n = table(spark, d, "nation")
+    k = F.col("n_nationkey")
+    return n.select(
+        F.col("n_regionkey").cast("long").alias("prompt_set"),
+        k.cast("long").alias("prompt_id"),
+        F.concat(F.lit("\nAnswer according to "), F.col("n_name"), F.lit(".")).alias("prompt"),
+        F.element_at(F.array(F.lit("before"), F.lit("after"), F.lit("other")), (k % 3 + 1).cast("int")).alias("location"),
+        F.when(k % 2 == 0, F.lit("before")).otherwise(F.lit("after")).alias("location_specific"),
+    )
+
+
+PROMPTS_SQL = """
+prompts AS (
+  SELECT n_regionkey::BIGINT AS prompt_set, n_nationkey::BIGINT AS prompt_id,
+         chr(10) || 'Answer according to ' || n_name || '.' AS prompt,
+         (['before', 'after', 'other'])[n_nationkey % 3 + 1] AS location,
+         CASE WHEN n_nationkey % 2 = 0 THEN 'before' ELSE 'after' END AS location_specific
+  FROM nation
+)"""
+
+
+def qa_table(spark, d) -> DataFrame:
+    """Canonical QA rows (M1) from the pairs: dataset by conv_id % 4, ordinal by pair_id."""
+    from groundeval.operators.ordinal import dense_ordinal
+
+    p = pairs(spark, d)
+    qa = p.select(
+        F.element_at(F.array(*[F.lit(n) for n in DATASET_NAMES]), (F.col("conv_id") % 4 + 1).cast("int")).alias("dataset_name"),
+        F.col("pair_id").cast("string").alias("id"),
+        F.col("pair_id"),
+        F.col("question").alias("title"),
+        F.col("golds").alias("answers"),
+        F.array(F.col("response")).alias("provenance"),
+    )
+    return dense_ordinal(qa, ["dataset_name"], ["pair_id"]).drop("pair_id")
+
+
+QA_SQL = PAIRS_SQL + f""",
+qa AS (
+  SELECT ({_NAMES_SQL})[conv_id % 4 + 1] AS dataset_name, CAST(pair_id AS VARCHAR) AS id,
+         question AS title, golds AS answers, [response] AS provenance,
+         (row_number() OVER (PARTITION BY conv_id % 4 ORDER BY pair_id) - 1)::BIGINT AS ordinal
+  FROM pairs
+)"""

@@ -68,3 +68,38 @@ def bleu_tokens(x: str) -> str:
 
 def ngram_sql(tokens: str, n: int) -> str:
     return f"list_transform(range(1, len({tokens}) - {n} + 2), lambda i: array_to_string({tokens}[i:i + {n - 1}], ' '))"
+
+
+def bleu_ctes(src: str, key: str, group: list[str], hyp: str, refs: str, p: str = "bl") -> str:
+    """CTEs computing corpus BLEU per ``group`` over relation ``src``; the last CTE is
+    ``{p}_f(group..., bleu, sys_len, ref_len, correct_1..4, total_1..4)``."""
+    g = ", ".join(group)
+    b = f"{p}_b AS (SELECT {g}, {key} AS k, {bleu_tokens(hyp)} AS h, list_transform({refs}, lambda r: {bleu_tokens('r')}) AS rs FROM {src})"
+    hg = " UNION ALL ".join(f"SELECT {g}, k, {n} AS n, unnest({ngram_sql('h', n)}) AS gram FROM {p}_b" for n in range(1, 5))
+    rx = f"{p}_rx AS (SELECT k, unnest(rs) AS r, generate_subscripts(rs, 1) AS ridx FROM {p}_b)"
+    rg = " UNION ALL ".join(f"SELECT k, ridx, {n} AS n, unnest({ngram_sql('r', n)}) AS gram FROM {p}_rx" for n in range(1, 5))
+    closest = "list_min(list_transform(rs, lambda r: abs(len(r) - len(h)) * 1000000 + len(r))) % 1000000"
+    tot = ", ".join(f"sum(greatest(len(h) - {n - 1}, 0))::BIGINT AS total_{n}" for n in range(1, 5))
+    cor = ", ".join(f"sum(CASE WHEN n = {n} THEN c ELSE 0 END)::BIGINT AS c{n}" for n in range(1, 5))
+    z = [" + ".join(f"(CASE WHEN c{i} = 0 THEN 1 ELSE 0 END)" for i in range(1, n + 1)) for n in range(1, 5)]
+    ps = [f"(CASE WHEN c{n} = 0 THEN 100.0 / (pow(2, {z[n - 1]}) * total_{n}) ELSE 100.0 * c{n} / total_{n} END)" for n in range(1, 5)]
+    score = (
+        "CASE WHEN (c1 = 0 AND c2 = 0 AND c3 = 0 AND c4 = 0) OR total_1 = 0 OR total_2 = 0 OR total_3 = 0 OR total_4 = 0 THEN 0.0::DOUBLE "
+        "ELSE (CASE WHEN sys_len < ref_len THEN (CASE WHEN sys_len > 0 THEN exp(1 - ref_len / sys_len) ELSE 0.0 END) ELSE 1.0 END) * exp(("
+        + " + ".join(f"ln({x})" for x in ps) + ") / 4) END"
+    )
+    using = ", ".join(group)
+    return f"""{b},
+{p}_hg AS ({hg}),
+{p}_hc AS (SELECT {g}, k, n, gram, count(*) AS ch FROM {p}_hg GROUP BY ALL),
+{rx},
+{p}_rg AS ({rg}),
+{p}_rc AS (SELECT k, n, gram, max(c) AS cr FROM (SELECT k, ridx, n, gram, count(*) AS c FROM {p}_rg GROUP BY ALL) GROUP BY ALL),
+{p}_clip AS (SELECT {', '.join('hc.' + c for c in group)}, hc.n, least(hc.ch, coalesce(rc.cr, 0)) AS c FROM {p}_hc hc LEFT JOIN {p}_rc rc
+             ON hc.k = rc.k AND hc.n = rc.n AND hc.gram = rc.gram),
+{p}_corr AS (SELECT {g}, {cor} FROM {p}_clip GROUP BY {g}),
+{p}_tot AS (SELECT {g}, sum(len(h))::BIGINT AS sys_len, sum({closest})::BIGINT AS ref_len, {tot} FROM {p}_b GROUP BY {g}),
+{p}_j AS (SELECT t.*, coalesce(c1, 0) AS c1, coalesce(c2, 0) AS c2, coalesce(c3, 0) AS c3, coalesce(c4, 0) AS c4
+          FROM {p}_tot t LEFT JOIN {p}_corr USING ({using})),
+{p}_f AS (SELECT {g}, {score} AS bleu, sys_len, ref_len, c1::BIGINT AS correct_1, c2::BIGINT AS correct_2,
+                 c3::BIGINT AS correct_3, c4::BIGINT AS correct_4, total_1, total_2, total_3, total_4 FROM {p}_j)"""

@@ -11,6 +11,17 @@ Sub-packages
     streaming   Micro-batch scoring of arriving predictions with the same operators.
 """
 
-from groundeval.session import get_spark, checkpoint_dir
+import sys as _sys
+
+from groundeval.session import checkpoint_dir, get_spark
+
+# Python code that runs inside tasks (Arrow-batched scans, injected predictors) is pickled
+# by value, so executors need no installed copy of this package.
+try:  # pragma: no cover - depends on the pyspark build
+    from pyspark import cloudpickle as _cp
+
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass
 
 __all__ = ["get_spark", "checkpoint_dir"]

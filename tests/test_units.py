@@ -134,3 +134,14 @@ def test_prompt_key_and_labels(spark):
     key = df.select(P.prompt_key("b", "a")).first()[0]
     assert key == "x\\ny{{ QUESTION }}? "
     assert _one(spark, [(key,)], P.strip_boilerplate("x")) == ["x\\ny{{ QUESTION }}"]
+
+
+def test_rougel_engines_agree(spark):
+    from groundeval.plans import fixtures as fx
+
+    from conftest import SF001
+
+    p = fx.pairs(spark, SF001)
+    a = M.score_pairs(p).select("pair_id", "rougel")
+    b = M.score_pairs(p, engine="jvm").select("pair_id", "rougel")
+    assert sorted(a.collect()) == sorted(b.collect())

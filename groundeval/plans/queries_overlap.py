@@ -129,15 +129,22 @@ def sketch_exact(spark, d):
     return ov.gram_set(fx.corpus(spark, d))
 
 
+def _bloom(spark, d):
+    corpus = fx.corpus(spark, d)
+    m = ov.bloom_bits_for(ov._probe_gram_count(corpus, "text", 25))
+    return ov.bloom_sketch(corpus, m_bits=m), m
+
+
 @register("sketch_bloom", None, ("E14",))
 def sketch_bloom(spark, d):
-    """Bloom sketch of the corpus as ``(word, bits)``; rows-only check (xxhash64 has no DuckDB twin)."""
-    return ov.bloom_sketch(fx.corpus(spark, d))
+    """Bloom sketch of the corpus as ``(word, bits)``; rows-only check (no SQL twin of the hash)."""
+    return _bloom(spark, d)[0]
 
 
 @register("quip_overlap_bloom", None, ("C13", "E14"))
 def quip_overlap_bloom(spark, d):
-    """Overlap read from the Bloom sketch; ≥ the exact score per item, never below."""
+    """Overlap read from the Bloom sketch; never below the exact score of an item."""
     probe = _probe(spark, d)
-    hits = ov.bloom_hits(probe, ov.bloom_sketch(fx.corpus(spark, d)), id_col="item_id")
+    sketch, m = _bloom(spark, d)
+    hits = ov.bloom_hits(probe, sketch, m_bits=m, id_col="item_id")
     return ov.overlap_from_hits(probe, hits, "item_id")

@@ -69,12 +69,13 @@ def sorted_unique(h: np.ndarray) -> np.ndarray:
 
 class HashSet:
     """Sorted probe hashes plus a packed-bit pre-filter on the top bits, sized so that at
-    most 1/128 of its bits are set (a non-member passes the pre-filter with p <= 1/128)."""
+    most 1/128 of its bits are set (capped at 2^28 bits = 32 MB, where up to 2M hashes
+    keep that rate; larger sets only send more candidates to the exact search)."""
 
     def __init__(self, hashes: np.ndarray):
         self.sorted = sorted_unique(hashes.astype(_U64))
         n = max(int(self.sorted.size), 1)
-        self.bits = int(min(31, max(16, int(np.ceil(np.log2(n))) + 7)))
+        self.bits = int(min(28, max(16, int(np.ceil(np.log2(n))) + 7)))  # <= 32 MB
         self.shift = _U64(64 - self.bits)
         top = (self.sorted >> self.shift).astype(np.int64)
         packed = np.zeros((1 << self.bits) >> 3, dtype=np.uint8)

@@ -46,6 +46,7 @@ def load_all() -> dict[str, Query]:
         queries_popularity,
         queries_reports,
         queries_generate,
+        queries_sources,
     )
 
     return REGISTRY

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundeval.functions import answers as A
-from groundeval.functions.text import normalized_tokens, whitespace_tokens
 from groundeval.operators import metrics as M
 from groundeval.plans import duck as D
 from groundeval.plans import fixtures as fx
@@ -178,6 +177,3 @@ def coerce_refs(spark, d):
     )
     return p.select("pair_id", A.coerce_refs(raw).alias("refs"))
 
-
-# normalised tokens are exported for reuse by evaluate/rescore
-__all__ = ["normalized_tokens", "whitespace_tokens"]

@@ -11,9 +11,6 @@ from groundeval.plans import fixtures as fx
 from groundeval.plans.catalog import register
 
 # Run of a pair for run-level aggregates: conv_id % 7.
-RUN_EXPR_SQL = "conv_id % 7"
-
-
 def _pairs(spark, d):
     return fx.pairs(spark, d).withColumn("run_id", (F.col("conv_id") % 7).cast("long"))
 
@@ -71,44 +68,11 @@ def run_metrics(spark, d):
 
 
 def _bleu_sql() -> str:
-    b = f"""b AS (
-  SELECT pair_id, (conv_id % 7)::BIGINT AS run_id, {D.bleu_tokens('explanation')} AS h,
-         list_transform(golds, lambda r: {D.bleu_tokens('r')}) AS rs
-  FROM pairs
-)"""
-    hg = " UNION ALL ".join(f"SELECT run_id, pair_id, {n} AS n, unnest({D.ngram_sql('h', n)}) AS gram FROM b" for n in range(1, 5))
-    rx = "rx AS (SELECT run_id, pair_id, unnest(rs) AS r, generate_subscripts(rs, 1) AS ridx FROM b)"
-    rg = " UNION ALL ".join(f"SELECT pair_id, ridx, {n} AS n, unnest({D.ngram_sql('r', n)}) AS gram FROM rx" for n in range(1, 5))
-    closest = "list_min(list_transform(rs, lambda r: abs(len(r) - len(h)) * 1000000 + len(r))) % 1000000"
-    tot = ", ".join(f"sum(greatest(len(h) - {n - 1}, 0))::BIGINT AS total_{n}" for n in range(1, 5))
-    cor = ", ".join(f"sum(CASE WHEN n = {n} THEN c ELSE 0 END)::BIGINT AS c{n}" for n in range(1, 5))
-    z = []
-    for n in range(1, 5):
-        z.append(" + ".join(f"(CASE WHEN c{i} = 0 THEN 1 ELSE 0 END)" for i in range(1, n + 1)))
-    ps = [f"(CASE WHEN c{n} = 0 THEN 100.0 / (pow(2, {z[n - 1]}) * total_{n}) ELSE 100.0 * c{n} / total_{n} END)" for n in range(1, 5)]
-    score = (
-        "CASE WHEN (c1 = 0 AND c2 = 0 AND c3 = 0 AND c4 = 0) OR total_1 = 0 OR total_2 = 0 OR total_3 = 0 OR total_4 = 0 THEN 0.0 "
-        "ELSE (CASE WHEN sys_len < ref_len THEN (CASE WHEN sys_len > 0 THEN exp(1 - ref_len / sys_len) ELSE 0.0 END) ELSE 1.0 END) * exp(("
-        + " + ".join(f"ln({p})" for p in ps)
-        + ") / 4) END"
-    )
-    return "WITH " + fx.PAIRS_SQL + f""",
-{b},
-hg AS ({hg}),
-hc AS (SELECT run_id, pair_id, n, gram, count(*) AS ch FROM hg GROUP BY ALL),
-{rx},
-rg AS ({rg}),
-rc AS (SELECT pair_id, n, gram, max(c) AS cr FROM (SELECT pair_id, ridx, n, gram, count(*) AS c FROM rg GROUP BY ALL) GROUP BY ALL),
-clip AS (SELECT hc.run_id, hc.n, least(hc.ch, coalesce(rc.cr, 0)) AS c FROM hc LEFT JOIN rc
-         ON hc.pair_id = rc.pair_id AND hc.n = rc.n AND hc.gram = rc.gram),
-corr AS (SELECT run_id, {cor} FROM clip GROUP BY run_id),
-tot AS (SELECT run_id, sum(len(h))::BIGINT AS sys_len, sum({closest})::BIGINT AS ref_len, {tot} FROM b GROUP BY run_id),
-f AS (SELECT tot.*, coalesce(c1, 0) AS c1, coalesce(c2, 0) AS c2, coalesce(c3, 0) AS c3, coalesce(c4, 0) AS c4
-      FROM tot LEFT JOIN corr USING (run_id))
-SELECT run_id, round({score}, 9) AS bleu, sys_len, ref_len,
-       c1::BIGINT AS correct_1, c2::BIGINT AS correct_2, c3::BIGINT AS correct_3, c4::BIGINT AS correct_4,
-       total_1, total_2, total_3, total_4
-FROM f"""
+    cols = ", ".join(["sys_len", "ref_len"] + [f"correct_{n}" for n in range(1, 5)] + [f"total_{n}" for n in range(1, 5)])
+    return "WITH " + fx.PAIRS_SQL + """,
+src AS (SELECT pair_id, (conv_id % 7)::BIGINT AS run_id, explanation, golds FROM pairs),
+""" + D.bleu_ctes("src", "pair_id", ["run_id"], "explanation", "golds") + f"""
+SELECT run_id, round(bleu, 9) AS bleu, {cols} FROM bl_f"""
 
 
 @register("corpus_bleu", _bleu_sql(), "E3")

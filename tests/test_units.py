@@ -145,3 +145,16 @@ def test_rougel_engines_agree(spark):
     a = M.score_pairs(p).select("pair_id", "rougel")
     b = M.score_pairs(p, engine="jvm").select("pair_id", "rougel")
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_bleu_engines_agree(spark):
+    from groundeval.plans import fixtures as fx
+
+    from conftest import SF001
+
+    p = fx.pairs(spark, SF001).withColumn("run_id", F.col("conv_id") % 3)
+    a = M.corpus_bleu(p, "pair_id", "explanation", "golds", group=["run_id"]).orderBy("run_id").collect()
+    b = M.corpus_bleu(p, "pair_id", "explanation", "golds", group=["run_id"], engine="jvm").orderBy("run_id").collect()
+    assert [r.asDict() for r in a] == [r.asDict() for r in b]
+    c = M.corpus_bleu(p, "pair_id", "explanation", "golds").collect()
+    assert len(c) == 1 and 0.0 <= c[0].bleu <= 100.0

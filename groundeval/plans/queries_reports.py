@@ -223,15 +223,16 @@ def union_runs(spark, d):
 
 @register("registry_merge", """
 WITH u AS (
-  SELECT n_name AS name, 'qa/' || n_name || '.jsonl' AS path, 0::BIGINT AS source_rank FROM nation
+  SELECT 'ds' || CAST(p_partkey AS VARCHAR) AS name, 'qa/' || p_name || '.jsonl' AS path, 0::BIGINT AS source_rank FROM part
   UNION ALL
-  SELECT CASE WHEN n_nationkey % 4 = 0 THEN n_name ELSE n_name || '_dialogue' END, 'dialogue/' || n_name || '.jsonl', 1::BIGINT FROM nation
+  SELECT 'ds' || CAST(p_partkey * 2 AS VARCHAR), 'dialogue/' || p_brand || '.jsonl', 1::BIGINT FROM part
 )
 SELECT name, max(source_rank) AS source_rank, arg_max(path, source_rank) AS path FROM u GROUP BY name""", ("D10", "A7"))
 def registry_merge(spark, d):
-    n = fx.table(spark, d, "nation")
-    a = n.select(F.col("n_name").alias("name"), F.concat(F.lit("qa/"), "n_name", F.lit(".jsonl")).alias("path"),
-                 F.lit(0).cast("long").alias("source_rank"))
-    b = n.select(F.when(F.col("n_nationkey") % 4 == 0, F.col("n_name")).otherwise(F.concat("n_name", F.lit("_dialogue"))).alias("name"),
-                 F.concat(F.lit("dialogue/"), "n_name", F.lit(".jsonl")).alias("path"), F.lit(1).cast("long").alias("source_rank"))
+    """Two name → path groups (from ``part``); a name in both keeps the second group's path."""
+    p = fx.table(spark, d, "part")
+    a = p.select(F.concat(F.lit("ds"), F.col("p_partkey").cast("string")).alias("name"),
+                 F.concat(F.lit("qa/"), "p_name", F.lit(".jsonl")).alias("path"), F.lit(0).cast("long").alias("source_rank"))
+    b = p.select(F.concat(F.lit("ds"), (F.col("p_partkey") * 2).cast("string")).alias("name"),
+                 F.concat(F.lit("dialogue/"), "p_brand", F.lit(".jsonl")).alias("path"), F.lit(1).cast("long").alias("source_rank"))
     return Q.keyed_union_last_wins(a.unionByName(b), "name", "source_rank").select("name", "source_rank", "path")

@@ -74,3 +74,17 @@ def read_runs(spark, d):
     W.write_runs(rows, runs.select("run_id", "params", F.lit(None).cast(RD.RUN_SCHEMA["results"].dataType).alias("results")), path)
     back = EV.runs_to_rows(RD.read_runs(spark, path))
     return back.select("run_id", "idx", "question", "pred", "golds")
+
+
+@register("read_keyed_json", """
+SELECT CAST(doc_id AS VARCHAR) AS id, source AS QUESTION,
+       CASE WHEN doc_id % 2 = 1 THEN 'yes' ELSE 'no' END AS final_decision
+FROM documents""", ("A6", "M5"))
+def read_keyed_json(spark, d):
+    doc = fx.table(spark, d, "documents").select(
+        "doc_id", F.col("source").alias("QUESTION"),
+        F.when(F.col("doc_id") % 2 == 1, F.lit("yes")).otherwise(F.lit("no")).alias("final_decision"))
+    path = _scratch(spark, "keyed")
+    W.write_keyed_json(doc, path, "doc_id")
+    vt = T.StructType([T.StructField("QUESTION", T.StringType()), T.StructField("final_decision", T.StringType())])
+    return RD.read_keyed_json(spark, path, vt, per_line=True)

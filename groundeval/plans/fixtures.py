@@ -34,11 +34,6 @@ def corpus(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text")
 
 
-def partial_corpus(spark, d) -> DataFrame:
-    """Corpus with a third of the documents left out (gives partial chains)."""
-    return corpus(spark, d).where(F.col("doc_id") % 3 > 0)
-
-
 # --------------------------------------------------------------- question/answer pairs
 # A user turn t and the assistant turn t+1 of the same conversation form one pair.
 # answer      = first (3 + t % 3) words of the assistant text

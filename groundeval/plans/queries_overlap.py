@@ -94,7 +94,7 @@ def matched_segments(spark, d):
 
 @register(
     "quip_chains",
-    "WITH " + _PG + "," + _cg("documents", "doc_id % 3 > 0") + "," + _HITS + """,
+    "WITH " + _PG + "," + _cg("documents") + "," + _HITS + """,
 isl AS (
   SELECT item_id, pos, pos - row_number() OVER (PARTITION BY item_id ORDER BY pos) AS island
   FROM hits WHERE is_member
@@ -110,8 +110,7 @@ FROM ch""",
     ("W3",),
 )
 def quip_chains(spark, d):
-    hits = _hits(spark, d, fx.partial_corpus(spark, d))
-    c = ov.quip_chains(hits, id_col="item_id")
+    c = ov.quip_chains(_hits(spark, d), id_col="item_id")
     return c.select(
         "item_id", "chain_rank",
         F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos"),

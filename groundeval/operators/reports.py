@@ -7,12 +7,11 @@ declared value list (no self-join).
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from groundeval.functions import prompts as P
+from groundeval.functions.format import format_fixed1
 
 METRICS = ["ds-25-overlap", "em", "f1", "rougel", "bleu", "average_tokens"]
 
@@ -109,18 +108,10 @@ def prompt_dataset_table(summary: DataFrame, by=("model",)) -> DataFrame:
     return piv.withColumn("display", P.display_text("label"))
 
 
-@F.pandas_udf(T.StringType())
-def _format_1f(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v != v or v is None else "%.1f" % v)
-
-
 def format_pct(c) -> F.Column:
-    """``'%.1f' % x`` exactly as Python formats it (correct rounding of the binary value).
-
-    Java's ``format_string`` rounds the shortest decimal string half-up (3.55 → '3.6',
-    Python gives '3.5'), so this one display column of a small report table goes through
-    an Arrow-batched pandas UDF."""
-    return _format_1f(c)
+    """``'%.1f' % x`` exactly as Python formats it, as a native expression (see
+    ``functions.format``; Java's ``format_string`` rounds ties differently)."""
+    return format_fixed1(c)
 
 
 def relative_change(summary: DataFrame, by=("model", "dataset")) -> DataFrame:

@@ -158,3 +158,17 @@ def test_bleu_engines_agree(spark):
     assert [r.asDict() for r in a] == [r.asDict() for r in b]
     c = M.corpus_bleu(p, "pair_id", "explanation", "golds").collect()
     assert len(c) == 1 and 0.0 <= c[0].bleu <= 100.0
+
+
+def test_format_fixed1_matches_python(spark):
+    import random
+
+    from groundeval.functions.format import format_fixed1
+
+    rnd = random.Random(5)
+    vals = [0.25, 0.35, 3.55, 2.675, 1.05, 0.05, 12.25, 0.15, 0.45, -0.04, -3.55, 0.0, 99.95, 1e6 + 0.05, 123456.789]
+    vals += [rnd.uniform(0, 100) for _ in range(2000)] + [round(rnd.uniform(0, 100), 2) for _ in range(2000)]
+    vals += [i / 100 for i in range(0, 10000, 5)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.select(format_fixed1("x")).collect()]
+    assert got == ["%.1f" % v for v in vals]

@@ -78,11 +78,17 @@ def flatten_runs(runs: DataFrame) -> DataFrame:
 
 def summary_mean_std(flat: DataFrame, by=("model", "dataset", "prompt"), metrics=METRICS) -> DataFrame:
     """Mean and sample standard deviation of every metric per (model, dataset, prompt);
-    one run → std NULL.  Sorted by the overlap mean, descending."""
+    one run → std NULL.  One hash aggregation (partial + final); unsorted, because the
+    reports built on it re-aggregate (``sort_by_overlap`` gives the file order)."""
     aggs = []
     for m in metrics:
         aggs += [F.avg(F.col(f"`{m}`")).alias(f"{m}-mean"), F.stddev_samp(F.col(f"`{m}`")).alias(f"{m}-std")]
-    return flat.groupBy(*by).agg(*aggs, F.count(F.lit(1)).alias("n_runs")).orderBy(F.desc_nulls_last("`ds-25-overlap-mean`"))
+    return flat.groupBy(*by).agg(*aggs, F.count(F.lit(1)).alias("n_runs"))
+
+
+def sort_by_overlap(summary: DataFrame) -> DataFrame:
+    """The summary files' order: overlap mean descending."""
+    return summary.orderBy(F.desc_nulls_last("`ds-25-overlap-mean`"))
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str = "model") -> DataFrame:

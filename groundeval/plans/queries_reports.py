@@ -87,7 +87,7 @@ def _rounded(df, skip=()):
 
 @register("summary_mean_std", SUMMARY_SQL + f"\nSELECT model, dataset, prompt, {_SUM_OUT}, n_runs FROM summary", ("E5", "D7"))
 def summary_mean_std(spark, d):
-    return _rounded(_summary(spark, d))
+    return R.sort_by_overlap(_rounded(_summary(spark, d)))
 
 
 def _dim_sql(name: str, mapping: dict, order: list) -> str:

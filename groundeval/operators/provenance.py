@@ -1,11 +1,10 @@
 """Provenance assembly for knowledge-grounded QA rows, and the builders' audits.
 
-The per-pointer page lookup of the reference becomes one equi-join of all pointers with
-the page table (shuffle on page id; AQE splits popular pages).  Pointers are then
-re-grouped per row: the join output is hash-partitioned on the row id once, and both
-re-assembly levels (per output item, per row) aggregate on keys that start with the row
-id, so they reuse that partitioning.  Ordered ``collect_list`` groups are bounded by the
-pointers of one row.
+The per-pointer page lookup of the reference becomes equi-joins of all pointers with the
+page table: a narrow (page id, title) join and a (page id, paragraph) join against the
+referenced pages exploded to paragraphs, so no pointer carries a whole page.  Pointers
+are then re-grouped per output item and per row with ordered ``collect_list``; each group
+is bounded by the pointers / output items of one row.
 """
 
 from __future__ import annotations
@@ -24,21 +23,36 @@ def explode_pointers(raw: DataFrame, id_col: str = "id") -> DataFrame:
 def slice_pointers(pointers: DataFrame, pages: DataFrame) -> DataFrame:
     """Join pointers with pages and cut the paragraph (or its character span).
 
+    Pages are first reduced to the referenced ids (semi-join), exploded to paragraphs and
+    joined on ``(page_id, paragraph)``, so a pointer receives only its paragraph — never a
+    copy of the whole page — and a page referenced by many pointers costs one paragraph per
+    pointer.  A narrow ``(page_id, title)`` join tells a missing page from a missing
+    paragraph and feeds the title audit.
+
     ``status``: ok, missing_page (no page with that id), span_mismatch (start and end
-    paragraph differ).  ``slice`` is null unless ok."""
-    pg = pages.select(F.col("page_id").alias("_page_id"), F.col("title").alias("page_title"), F.col("text").alias("_text"))
-    j = pointers.join(pg, F.col("wikipedia_id").cast("long") == F.col("_page_id"), "left")
-    para = F.get(F.col("_text"), F.col("start_paragraph_id"))
+    paragraph differ).  ``slice`` is null unless ok (and when the paragraph is absent)."""
+    p = pointers.withColumn("_pid", F.col("wikipedia_id").cast("long"))
+    wanted = pages.join(p.select(F.col("_pid").alias("page_id")).distinct(), "page_id", "left_semi")
+    titles = wanted.select(F.col("page_id").alias("_tid"), F.col("title").alias("page_title"))
+    paras = wanted.select(F.col("page_id").alias("_ppid"), F.posexplode("text").alias("_par", "_para"))
+    j = p.join(titles, F.col("_pid") == F.col("_tid"), "left").join(
+        paras, (F.col("_pid") == F.col("_ppid")) & (F.col("start_paragraph_id") == F.col("_par")), "left"
+    )
+    para = F.col("_para")
     cut = F.when(
         F.col("start_character").isNotNull(),
         F.substr(para, F.col("start_character") + 1, F.col("end_character") - F.col("start_character")),
     ).otherwise(para)
     status = (
-        F.when(F.col("_page_id").isNull(), F.lit("missing_page"))
+        F.when(F.col("_tid").isNull(), F.lit("missing_page"))
         .when(F.col("start_paragraph_id") != F.col("end_paragraph_id"), F.lit("span_mismatch"))
         .otherwise(F.lit("ok"))
     )
-    return j.withColumn("status", status).withColumn("slice", F.when(status == "ok", cut)).drop("_page_id", "_text")
+    return (
+        j.withColumn("status", status)
+        .withColumn("slice", F.when(status == "ok", cut))
+        .drop("_pid", "_tid", "_ppid", "_par", "_para")
+    )
 
 
 def assemble(raw: DataFrame, slices: DataFrame, id_col: str = "id", question_col: str = "input") -> DataFrame:

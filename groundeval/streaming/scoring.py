@@ -56,6 +56,36 @@ def start_scoring(stream: DataFrame, corpus: DataFrame, sink: str, *, name: str
     return w.start()
 
 
+SCORE_SCHEMA = T.StructType([
+    T.StructField("pair_id", T.LongType()), T.StructField("run_id", T.LongType()), T.StructField("target", T.StringType()),
+    T.StructField("em", T.DoubleType()), T.StructField("f1", T.DoubleType()), T.StructField("rougel", T.DoubleType()),
+    T.StructField("overlap", T.DoubleType()), T.StructField("batch_id", T.LongType()),
+])
+
+
 def running_metrics(scores: DataFrame) -> DataFrame:
-    """Streaming per-(run, target) means; use with output mode ``update`` or ``complete``."""
+    """Per-(run, target) means; on a stream the sums and counts live in the state store."""
     return M.run_metrics(scores, run_cols=("run_id", "target"), metrics=("em", "f1", "rougel", "overlap"))
+
+
+def start_running_metrics(spark: SparkSession, scores_folder: str, table: str, *, name: str = "running",
+                          available_now: bool = True) -> StreamingQuery:
+    """Stream the appended score files into per-run running means (stateful aggregation,
+    ``update`` mode), upserting each micro-batch's changed runs into the parquet table at
+    ``table`` path (one folder per batch id; the latest row per run wins)."""
+    ckpt = os.path.join(checkpoint_dir(spark), f"stream-{name}")
+    agg = running_metrics(spark.readStream.schema(SCORE_SCHEMA).parquet(scores_folder))
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(table)
+
+    w = agg.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", ckpt)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()
+
+
+def latest_running_metrics(spark: SparkSession, table: str) -> DataFrame:
+    """The current value per run from the upserted table (highest batch id wins)."""
+    t = spark.read.parquet(table)
+    latest = t.groupBy("run_id", "target").agg(F.max("batch_id").alias("batch_id"))
+    return t.join(latest, ["run_id", "target", "batch_id"]).drop("batch_id")

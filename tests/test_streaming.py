@@ -26,3 +26,18 @@ def test_stream_scores_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
     runs = S.running_metrics(spark.read.parquet(sink))
     assert runs.count() == want.select("run_id", "target").distinct().count()
+
+
+def test_running_metrics_stream_matches_batch(spark, tmp_path):
+    src = _eval_source(spark, SF001)
+    inbox, sink, table = str(tmp_path / "in"), str(tmp_path / "scores"), str(tmp_path / "running")
+    src.write.json(inbox)
+    q = S.start_scoring(spark.readStream.schema(S.PREDICTION_SCHEMA).json(inbox), fx.corpus(spark, SF001), sink,
+                        name=f"s{os.getpid()}")
+    q.awaitTermination(300)
+    r = S.start_running_metrics(spark, sink, table, name=f"r{os.getpid()}")
+    r.awaitTermination(300)
+    cols = ["run_id", "target", F.round("em", 9), F.round("f1", 9), F.round("overlap", 9), "n"]
+    got = sorted(tuple(x) for x in S.latest_running_metrics(spark, table).select(*cols).collect())
+    want = sorted(tuple(x) for x in S.running_metrics(spark.read.parquet(sink)).select(*cols).collect())
+    assert got == want and len(got) > 0

@@ -42,14 +42,21 @@ def get_spark(master: str | None = None, app: str = "groundeval", **conf) -> Spa
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster; a scratch folder only when unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    try:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:  # noqa: BLE001
+        configured = None
+    configured = configured or spark.sparkContext.getCheckpointDir()
     if configured:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(configured)
         return configured
     local = tempfile.mkdtemp(prefix="groundeval-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
+    try:  # core configs may be read-only at runtime; the context setting above is what counts
+        spark.conf.set("spark.checkpoint.dir", local)
+    except Exception:  # noqa: BLE001
+        pass
     return local
 
 

@@ -129,9 +129,12 @@ def sketch_exact(spark, d):
 
 
 def _bloom(spark, d):
-    corpus = fx.corpus(spark, d)
-    m = ov.bloom_bits_for(ov._probe_gram_count(corpus, "text", 25))
-    return ov.bloom_sketch(corpus, m_bits=m), m
+    """Sketch sized from the stored character counts (an upper bound on the windows), so
+    sizing reads one integer column instead of the texts."""
+    docs = fx.table(spark, d, "documents")
+    n = docs.agg(F.sum("n_chars").alias("n")).first()["n"] or 0
+    m = ov.bloom_bits_for(int(n))
+    return ov.bloom_sketch(docs.select("doc_id", "text"), m_bits=m), m
 
 
 @register("sketch_bloom", None, ("E14",))

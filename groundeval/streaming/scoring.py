@@ -34,22 +34,34 @@ def read_prediction_stream(spark: SparkSession, folder: str, max_files: int = 10
     return spark.readStream.schema(PREDICTION_SCHEMA).option("maxFilesPerTrigger", max_files).json(folder)
 
 
-def score_batch(preds: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Per prediction and target: em, f1, rougel, plus its overlap with the corpus."""
+def score_batch(preds: DataFrame, corpus: DataFrame | None = None, *, sketch: DataFrame | None = None,
+                m_bits: int | None = None) -> DataFrame:
+    """Per prediction and target: em, f1, rougel, plus its overlap with the corpus.
+
+    With ``sketch`` (a Bloom table from ``bloom_sketch`` and its ``m_bits``) the overlap is
+    read from the sketch — one join per batch, no corpus scan, the right choice for a
+    long-running stream over a large corpus.  Otherwise the exact corpus scan runs."""
     scored = EV.score_targets(preds)
     texts = preds.select(F.col("pair_id").alias("id"), F.col("pred").alias("text"))
-    ov = OV.quip_overlap(texts, corpus, id_col="id").select(F.col("id").alias("pair_id"), "overlap")
+    if sketch is not None:
+        hits = OV.bloom_hits(texts, sketch, m_bits=m_bits, id_col="id")
+        ov = OV.overlap_from_hits(texts, hits, "id")
+    else:
+        ov = OV.quip_overlap(texts, corpus, id_col="id")
+    ov = ov.select(F.col("id").alias("pair_id"), "overlap")
     return scored.select("run_id", "pair_id", "target", "em", "f1", "rougel").join(ov, "pair_id", "left")
 
 
-def start_scoring(stream: DataFrame, corpus: DataFrame, sink: str, *, name: str = "scores",
-                  available_now: bool = True) -> StreamingQuery:
-    """Append per-prediction scores of every micro-batch to parquet at ``sink``."""
+def start_scoring(stream: DataFrame, corpus: DataFrame | None, sink: str, *, name: str = "scores",
+                  available_now: bool = True, sketch: DataFrame | None = None, m_bits: int | None = None) -> StreamingQuery:
+    """Append per-prediction scores of every micro-batch to parquet at ``sink``.  Pass a
+    persisted Bloom ``sketch`` (and its ``m_bits``) to avoid touching the corpus per batch."""
     spark = stream.sparkSession
     ckpt = os.path.join(checkpoint_dir(spark), f"stream-{name}")
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        score_batch(batch, corpus).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
+        out = score_batch(batch, corpus, sketch=sketch, m_bits=m_bits)
+        out.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
 
     w = stream.writeStream.foreachBatch(process).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundeval.llm import chat_format, exact_dedup
-from groundeval.llm.common import table
+from groundeval.llm import chat_format, exact_dedup, lang_id, toxicity
+from groundeval.llm.common import in_fold, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -70,3 +70,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(said).alias("text"),
     )
     return chat_format.read_back(chat_format.format_chats(turns.unionByName(extra)))
+
+
+@query("op7_lang_id")
+def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = in_fold("doc_id", 4, 2)
+    out = lang_id.identify(docs, ~held)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = in_fold("doc_id", 3, 1)
+    out = toxicity.toxicity(docs, labels, ~held)
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted")

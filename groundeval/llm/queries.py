@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundeval.llm import chat_format, exact_dedup, lang_id, toxicity
+from groundeval.llm import chat_format, exact_dedup, lang_id, lm_score, toxicity
 from groundeval.llm.common import in_fold, table
 
 QUERIES: dict = {}
@@ -86,3 +86,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = in_fold("doc_id", 3, 1)
     out = toxicity.toxicity(docs, labels, ~held)
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query("op3_lm_score")
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = in_fold("doc_id", 7, 2)
+    out = lm_score.lm_score(docs, ~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

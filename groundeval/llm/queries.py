@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundeval.llm import chat_format, exact_dedup, lang_id, lm_score, toxicity
+from groundeval.llm import chat_format, exact_dedup, lang_id, lm_score, packing, substring_dedup, toxicity
 from groundeval.llm.common import in_fold, table
 
 QUERIES: dict = {}
@@ -94,3 +94,38 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = in_fold("doc_id", 7, 2)
     out = lm_score.lm_score(docs, ~held)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public tokenizer's file on the machine that asks."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, s, array_to_string(words[s:s + 49], ' ') AS span
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS s FROM d)),
+m AS (SELECT span, min(doc_id) AS first FROM w GROUP BY span HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, list(s) AS starts FROM w JOIN m USING (span) WHERE first < doc_id GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(flatten(list_transform(starts, lambda s: range(s, s + 50)))) AS i FROM hit),
+x AS (SELECT doc_id, i, word FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d)),
+k AS (SELECT x.doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY x.i) AS kept
+      FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i WHERE gone.i IS NULL GROUP BY x.doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n_kept, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op5_substring_dedup", REPEATS_SQL)
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundeval.llm import chat_format, exact_dedup, lang_id, lm_score, packing, substring_dedup, toxicity
+from groundeval.llm import ann, chat_format, exact_dedup, lang_id, lm_score, packing, substring_dedup, toxicity
 from groundeval.llm.common import in_fold, table
 
 QUERIES: dict = {}
@@ -129,3 +129,8 @@ FROM d LEFT JOIN k USING (doc_id)
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op8_ann")
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)

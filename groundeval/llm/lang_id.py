@@ -14,7 +14,6 @@ error, never a cut.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,60 +21,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundeval.llm.common import WordTable
-
-LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-
-
-def gram_keys(word: str, max_n: int = 3) -> list[int]:
-    """The n-grams of a lower-cased token's letter runs, each packed into 63 bits: 21 bits a
-    code point, first one highest, so that keys sort as the n-grams do."""
-    keys = []
-    for run in LETTERS.findall(word):
-        cps = [95, *map(ord, run), 95]
-        for n in range(1, max_n + 1):
-            for i in range(len(cps) - n + 1):
-                if n == 1 and cps[i] == 95:
-                    continue
-                key = 0
-                for j in range(3):
-                    key = (key << 21) | (cps[i + j] if j < n else 0)
-                keys.append(key)
-    return keys
-
-
-class Grams:
-    """Dense local numbers for n-grams, and each word's n-gram numbers."""
-
-    def __init__(self, max_n: int = 3):
-        self.max_n = max_n
-        self.reset()
-
-    def reset(self) -> None:
-        self.number: dict[int, int] = {}
-        self.words = WordTable(self._word)
-        self.keys = np.zeros(1024, dtype=np.int64)
-
-    def _word(self, word: str) -> np.ndarray:
-        out = []
-        for key in gram_keys(word, self.max_n):
-            at = self.number.setdefault(key, len(self.number))
-            if at >= len(self.keys):
-                self.keys = np.concatenate([self.keys, np.zeros_like(self.keys)])
-            self.keys[at] = key
-            out.append(at)
-        return np.array(out, dtype=np.int32)
-
-    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Local numbers of the text's distinct n-grams, and their counts."""
-        parts = [self.words[w] for w in text.lower().split()]
-        grams = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        if len(self.number) > 8 * len(grams):
-            return np.unique(grams, return_counts=True)
-        counts = np.bincount(grams, minlength=1)
-        at = np.flatnonzero(counts)
-        return at, counts[at]
+PAD = 95  # "_", the edge of a letter run
+LOW = np.array([chr(c).isalpha() for c in range(0x3000)], dtype=bool)
+
+
+def gram_counts(text: str, max_n: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a text's letter runs, in order, and their counts.  An n-gram is
+    packed into 63 bits, 21 a code point, first one highest, so keys sort as n-grams do."""
+    cps = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
+    if cps.max() < len(LOW):
+        letter = LOW[cps]
+    else:
+        kinds, back = np.unique(cps, return_inverse=True)
+        letter = np.array([chr(c).isalpha() for c in kinds.tolist()], dtype=bool)[back]
+    cps = np.where(letter, cps, PAD)
+    parts = [cps[letter] << 42]
+    if max_n >= 2:
+        parts.append(((cps[:-1] << 42) | (cps[1:] << 21))[letter[:-1] | letter[1:]])
+    if max_n >= 3:
+        parts.append(((cps[:-2] << 42) | (cps[1:-1] << 21) | cps[2:])[letter[1:-1]])
+    keys = np.sort(np.concatenate(parts))
+    if not len(keys):
+        return keys, keys
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def top_grams(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """The most frequent n-grams in rank order, ties in n-gram order."""
+    small = np.int16 if counts.max(initial=0) < 32768 else np.int64  # 16 bits sort fastest
+    return keys[np.argsort(-counts.astype(small), kind="stable")[:size]]
 
 
 def train_profiles(
@@ -89,30 +65,22 @@ def train_profiles(
     """``{language: n-gram keys in rank order}`` from all rows with a language and a text."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, sums = Grams(max_n), {}
+        texts: dict[str, list[str]] = {}
+        chars: dict[str, int] = {}
 
-        def rows():
-            for lang, total in sums.items():
-                at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(at), pa.string()), pa.array(grams.keys[at]), pa.array(total[at])], names=["lang", "gram", "n"]
-                )
+        def rows(lang: str) -> pa.RecordBatch:
+            keys, n = gram_counts(" ".join(texts.pop(lang)), max_n)
+            chars.pop(lang)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], names=["lang", "gram", "n"])
 
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at, n = grams.count(text)
-                total = sums.get(lang)
-                if total is None or (len(at) and at.max() >= len(total)):
-                    grown = np.zeros(max(1024, 2 * len(grams.number)), dtype=np.int64)
-                    if total is not None:
-                        grown[: len(total)] = total
-                    total = sums[lang] = grown
-                total[at] += n
-            if len(grams.number) > 500_000:
-                yield from rows()
-                grams.reset()
-                sums.clear()
-        yield from rows()
+                texts.setdefault(lang, []).append(text)
+                chars[lang] = chars.get(lang, 0) + len(text)
+                if chars[lang] > 1_000_000:
+                    yield rows(lang)
+        for lang in list(texts):
+            yield rows(lang)
 
     train = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     train = train.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -130,34 +98,24 @@ class Identifier:
 
     def __init__(self, profiles: dict[str, np.ndarray], profile_size: int, max_n: int):
         self.langs = sorted(profiles)
-        self.size = profile_size
-        self.grams = Grams(max_n)
-        self.rank = [{int(k): i for i, k in enumerate(profiles[x])} for x in self.langs]
-        self.known = 0
-        self.table = np.full((1024, max(1, len(self.langs))), -1, dtype=np.int32)
-
-    def _ranks(self, at: np.ndarray) -> np.ndarray:
-        n = len(self.grams.number)
-        if n > self.known:  # ranks of the n-grams met since the last call
-            if n > len(self.table):
-                self.table = np.concatenate([self.table, np.full((n, self.table.shape[1]), -1, dtype=np.int32)])
-            for i, key in enumerate(self.grams.keys[self.known : n].tolist(), self.known):
-                for j, rank in enumerate(self.rank):
-                    self.table[i, j] = rank.get(key, -1)
-            self.known = n
-        return self.table[at]
+        self.size, self.max_n = profile_size, max_n
+        known = [profiles[x] for x in self.langs]
+        self.keys = np.unique(np.concatenate(known)) if known else np.zeros(0, np.int64)
+        self.rank = np.full((len(self.keys) + 1, max(1, len(known))), -1, dtype=np.int64)  # last row: in no profile
+        for j, keys in enumerate(known):
+            self.rank[np.searchsorted(self.keys, keys), j] = np.arange(len(keys))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if text is None or not self.langs:
             return UNKNOWN, 0.0
-        if len(self.grams.number) > 500_000:
-            self.grams.reset()
-            self.known, self.table[:] = 0, -1
-        at, n = self.grams.count(text)
-        if not len(at):
+        keys, counts = gram_counts(text, self.max_n)
+        if not len(keys):
             return UNKNOWN, 0.0
-        top = at[np.lexsort((self.grams.keys[at], -n))[: self.size]]
-        ranks = self._ranks(top)
+        top = top_grams(keys, counts, self.size)
+        at = np.searchsorted(self.keys, top)
+        if len(self.keys):
+            at[self.keys[np.minimum(at, len(self.keys) - 1)] != top] = len(self.keys)
+        ranks = self.rank[at]
         apart = np.abs(ranks - np.arange(len(top))[:, None])
         dist = np.where(ranks < 0, self.size, apart).sum(axis=0)
         best = int(dist.argmin())  # ties: the first language by name
@@ -172,7 +130,6 @@ def identify(
     lang_col: str = "lang",
     profile_size: int = 400,
     max_n: int = 3,
-    min_score: float | None = None,
 ) -> DataFrame:
     """One row per document: ``(<id_col>, lang_pred, score)``.
 

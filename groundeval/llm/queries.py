@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundeval.llm import ann, chat_format, exact_dedup, lang_id, lm_score, packing, substring_dedup, toxicity
+from groundeval.llm import ann, chat_format, exact_dedup, lang_id, lm_score, order_minhash, packing, substring_dedup, toxicity
 from groundeval.llm.common import in_fold, table
 
 QUERIES: dict = {}
@@ -134,3 +134,8 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_ann")
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op1_near_dedup")
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_classes(table(spark, sf_dir, "documents"))

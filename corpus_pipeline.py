@@ -1,5 +1,9 @@
 """A corpus pipeline from the training-data operators; every stage reads what the one
-before it kept.  ``run`` applies all stages to ``documents``."""
+before it kept.  ``run`` applies all stages to ``documents``.
+
+The mixing stage repeats documents of small sources (in whole and part epochs) and drops
+none; the copies are rows with the same ``doc_id``, which packing treats like any others.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +11,46 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundeval.llm import exact_dedup
+from groundeval.llm import exact_dedup, lang_id, mixing, order_minhash, packing
 from groundeval.llm.common import checkpoint_dir, table
+from groundeval.llm.queries import tokenizer_file
+
+
+def stage_lang_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without letters, and texts far from every learned language, go."""
+    return lang_id.keep_identified(docs, min_score=0.1)
 
 
 def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts (the smallest identifier) stays."""
-    return exact_dedup.drop_duplicates(docs)
+    """One row of each group of equal texts (the largest identifier) stays."""
+    return exact_dedup.drop_duplicates(docs, keep="max")
+
+
+def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class (the smallest identifier) stays."""
+    return order_minhash.keep_one(docs)
+
+
+def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are levelled as far as repeating none more than 1.5 times allows."""
+    return mixing.mix(docs, max_repetition=1.5).select(*docs.columns)
+
+
+def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of 2048-token sequences, related documents side by side."""
+    return packing.pack(docs, tokenizer_file())
 
 
 STAGES = [
+    ("lang_id", stage_lang_id),
     ("exact_dedup", stage_exact_dedup),
+    ("near_dedup", stage_near_dedup),
+    ("mixing", stage_mixing),
+    ("packing", stage_packing),
 ]
 
-#: The classifier, the sketches and the retrieval order have no SQL form; see tests/llm.
+#: Profiles, sketches and the retrieval order have no SQL form; tests/llm holds the stages
+#: against brute force.
 ORACLE_SQL = None
 
 

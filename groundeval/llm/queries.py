@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundeval.llm import ann, chat_format, exact_dedup, lang_id, lm_score, order_minhash, packing, substring_dedup, toxicity
+from groundeval.llm import ann, chat_format, exact_dedup, lang_id, lm_score, mixing, order_minhash, packing, substring_dedup, toxicity
 from groundeval.llm.common import in_fold, table
 
 QUERIES: dict = {}
@@ -139,3 +139,9 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_near_dedup")
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op6_mixing")
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.mix(table(spark, sf_dir, "documents"), max_repetition=2.0)
+    return drawn.select("doc_id", "source", "epoch", "block", "n_tokens")

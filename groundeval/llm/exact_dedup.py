@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from groundeval.llm.common import as_bytes, cut_lineage, fresh, shuffle_partitions
 
@@ -124,7 +125,7 @@ def drop_duplicates(
         .where(~F.col("f_kept") | (F.col("f_n") > 1))
     )
     digest = fresh(docs, "text_digest")
-    tagged = docs.mapInArrow(_with_digest(text_col, digest), docs.schema.add(digest, "binary"))
+    tagged = docs.mapInArrow(_with_digest(text_col, digest), StructType([*docs.schema.fields, StructField(digest, BinaryType())]))
     joined = tagged.join(
         flags.withColumnsRenamed({c: fresh(docs, c) for c in flags.columns}),
         F.col(id_col).eqNullSafe(F.col(fresh(docs, "f_id"))) & (F.col(digest) == F.col(fresh(docs, "f_digest"))),

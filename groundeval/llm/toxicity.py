@@ -155,7 +155,10 @@ def fit(
         pos = np.array(data["pos"].to_pylist(), dtype=bool)
         feats = [np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in data["feats"].to_pylist()]
         split = int(pos.sum())
-        w = train_nnpu(feats[:split], feats[split:], prior, bits, steps, rate, l2, min_share, lift)
+        if split:
+            w = train_nnpu(feats[:split], feats[split:], prior, bits, steps, rate, l2, min_share, lift)
+        else:
+            w = np.append(np.zeros(1 << bits), np.log(prior / (1 - prior))).astype(np.float32)
         return pa.table({"bag": pa.array([key[0].as_py()], pa.int32()), "w": pa.array([w.tobytes()], pa.binary())})
 
     got = rows.groupBy("bag").applyInArrow(learn, "bag int, w binary").collect()

@@ -32,7 +32,7 @@ HEADLINE = [
     "popularity_curve",
     "kilt_provenance",
     "qa_multihop_provenance",
-    "sketch_bloom",
+    "bloom_contract",
 ]
 
 

@@ -54,47 +54,3 @@ def window_hashes(text: str, width: int, powers: Powers) -> np.ndarray:
         q = np.zeros(len(cp) + 1, dtype=_U64)
         np.cumsum(cp * powers.inv[: len(cp)], dtype=_U64, out=q[1:])
         return (q[width:] - q[:n]) * powers.fwd[width - 1 : width - 1 + n]
-
-
-def sorted_unique(h: np.ndarray) -> np.ndarray:
-    """Sort + adjacent de-duplication (much faster than ``np.unique`` on large uint64 arrays)."""
-    if h.size == 0:
-        return h
-    s = np.sort(h, kind="stable" if h.size < 64 else "quicksort")
-    keep = np.empty(s.size, dtype=bool)
-    keep[0] = True
-    np.not_equal(s[1:], s[:-1], out=keep[1:])
-    return s[keep]
-
-
-class HashSet:
-    """Sorted probe hashes plus a packed-bit pre-filter on the top bits, sized so that at
-    most 1/128 of its bits are set (capped at 2^28 bits = 32 MB, where up to 2M hashes
-    keep that rate; larger sets only send more candidates to the exact search)."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.sorted = sorted_unique(hashes.astype(_U64))
-        n = max(int(self.sorted.size), 1)
-        self.bits = int(min(28, max(16, int(np.ceil(np.log2(n))) + 7)))  # <= 32 MB
-        self.shift = _U64(64 - self.bits)
-        top = (self.sorted >> self.shift).astype(np.int64)
-        packed = np.zeros((1 << self.bits) >> 3, dtype=np.uint8)
-        np.bitwise_or.at(packed, top >> 3, (1 << (top & 7)).astype(np.uint8))
-        self.filter = packed
-
-    def member(self, h: np.ndarray) -> np.ndarray:
-        """Indices ``i`` with ``h[i]`` in the set."""
-        if self.sorted.size == 0 or h.size == 0:
-            return np.empty(0, dtype=np.int64)
-        top = (h >> self.shift).astype(np.int64)
-        cand = (self.filter[top >> 3] >> (top & 7).astype(np.uint8)) & 1
-        idx = np.flatnonzero(cand)
-        if idx.size == 0:
-            return idx
-        needles = h[idx]
-        order = np.argsort(needles, kind="quicksort")  # sorted needles: sequential probing
-        pos = np.searchsorted(self.sorted, needles[order])
-        pos[pos == self.sorted.size] = 0
-        hit = np.empty(idx.size, dtype=bool)
-        hit[order] = self.sorted[pos] == needles[order]
-        return idx[hit]

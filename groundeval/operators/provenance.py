@@ -61,10 +61,8 @@ def assemble(raw: DataFrame, slices: DataFrame, id_col: str = "id", question_col
     An output item contributes one provenance string (its slices joined by a space, in
     pointer order; an empty pointer list gives '') when it has a provenance list, and one
     reference when it has an answer."""
-    n = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     per_item_slices = (
-        slices.repartition(n, id_col)
-        .groupBy(id_col, "oi")
+        slices.groupBy(id_col, "oi")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pi", "slice"))), lambda s: s["slice"]), " ").alias("joined"))
     )
     items = raw.select(id_col, question_col, F.posexplode("output").alias("oi", "item")).select(

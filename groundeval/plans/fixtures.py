@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundeval.functions.text import first_words
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -36,9 +35,9 @@ def corpus(spark, d) -> DataFrame:
 
 # --------------------------------------------------------------- question/answer pairs
 # A user turn t and the assistant turn t+1 of the same conversation form one pair.
-# answer      = first (3 + t % 3) words of the assistant text
+# answer      = the first line of the assistant text (all of it if it has one line)
 # explanation = the assistant text
-# golds       = [user text, first 4 words of the assistant text]
+# golds       = [user text, assistant text]; every fourth turn also the answer
 # pair_id     = conv_id * 1000 + t
 
 def pairs(spark, d) -> DataFrame:
@@ -54,21 +53,20 @@ def pairs(spark, d) -> DataFrame:
         "turn",
         "question",
         "response",
-        first_words(F.col("response"), (F.lit(3) + F.col("turn") % 3).cast("int")).alias("answer"),
+        F.substring_index("response", "\n", 1).alias("answer"),
         F.col("response").alias("explanation"),
-        F.array(F.col("question"), first_words(F.col("response"), 4)).alias("golds"),
+        F.when(F.col("turn") % 4 == 0, F.array("question", "response", F.substring_index("response", "\n", 1)))
+        .otherwise(F.array("question", "response")).alias("golds"),
     )
 
 
-_WS = "[ \\t\\n\\r\\f\\x0B]+"
-
-PAIRS_SQL = f"""
+PAIRS_SQL = """
 pairs AS (
   SELECT (u.conv_id * 1000 + u.turn)::BIGINT AS pair_id, u.conv_id, u.turn,
          u.text AS question, a.text AS response,
-         array_to_string(list_filter(regexp_split_to_array(a.text, '{_WS}'), lambda t: t <> '')[1:(3 + u.turn % 3)::INT], ' ') AS answer,
+         string_split(a.text, chr(10))[1] AS answer,
          a.text AS explanation,
-         [u.text, array_to_string(list_filter(regexp_split_to_array(a.text, '{_WS}'), lambda t: t <> '')[1:4], ' ')] AS golds
+         CASE WHEN u.turn % 4 = 0 THEN [u.text, a.text, string_split(a.text, chr(10))[1]] ELSE [u.text, a.text] END AS golds
   FROM conversations u JOIN conversations a
     ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant'
@@ -140,7 +138,8 @@ _NAMES_SQL = "['nq_open', 'trivia_qa', 'hotpot', 'ELI5_dev']"
 
 
 def configs(spark, d) -> DataFrame:
-    """One configuration per supplier; prompt set = s_nationkey % 5 (a region of prompts)."""
+    """One configuration per supplier; prompt set = s_nationkey % 5 (a region of prompts).
+    Most take all questions (9999999), every fifth a first few."""
     s = table(spark, d, "supplier")
     k = F.col("s_suppkey")
     return s.select(
@@ -149,7 +148,7 @@ def configs(spark, d) -> DataFrame:
         F.when(k % 2 == 0, F.lit("? ")).otherwise(F.lit("")).alias("prompt_after"),
         F.element_at(F.array(F.lit("gpt3"), F.lit("t5"), F.lit("gpt-j")), (F.col("s_nationkey") % 3 + 1).cast("int")).alias("model_name"),
         F.col("s_name").alias("specific_name"),
-        (k % 50 + 1).cast("long").alias("num_examples"),
+        F.when(k % 5 == 0, k % 50 + 1).otherwise(9999999).cast("long").alias("num_examples"),
         (F.col("s_acctbal") / 10000).alias("temperature"),
         F.element_at(F.array(*[F.lit(n) for n in DATASET_NAMES]), (F.col("s_nationkey") % 4 + 1).cast("int")).alias("dataset_name"),
         F.element_at(F.array(F.lit("newline"), F.lit("json"), F.lit("semicolon"), F.lit("semicolon"), F.lit("semicolon")),
@@ -165,7 +164,7 @@ configs AS (
          CASE WHEN s_suppkey % 2 = 0 THEN '? ' ELSE '' END AS prompt_after,
          (['gpt3', 't5', 'gpt-j'])[s_nationkey % 3 + 1] AS model_name,
          s_name AS specific_name,
-         (s_suppkey % 50 + 1)::BIGINT AS num_examples,
+         (CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey % 50 + 1 ELSE 9999999 END)::BIGINT AS num_examples,
          s_acctbal / 10000 AS temperature,
          ({_NAMES_SQL})[s_nationkey % 4 + 1] AS dataset_name,
          (['newline', 'json', 'semicolon', 'semicolon', 'semicolon'])[s_suppkey % 5 + 1] AS output_format,

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from groundeval.functions import prompts as P
 from groundeval.functions.answers import CHOICE_DATASET, RAW_DATASETS
-from groundeval.functions.text import first_words
 from groundeval.operators import evaluate as EV
 from groundeval.operators import generate as GN
 from groundeval.operators import grid as G
@@ -61,14 +60,14 @@ def generate_two_step(spark, d):
 
 
 @register("two_step_compose", QG._RENDER_SQL + f""",
-o AS (SELECT run_id, id, p1, p2, p1 || ' ' || {_fw('title', 3)} AS answer_out, title FROM rd JOIN ex USING (run_id, id) WHERE NOT single),
+o AS (SELECT run_id, id, p1, p2, p1 || ' ' || title AS answer_out, title FROM rd JOIN ex USING (run_id, id) WHERE NOT single),
 o2 AS (SELECT *, {D.strip("replace(answer_out, p1, '')")} AS a FROM o)
 SELECT run_id, id,
        a || ';' || {D.strip("replace(replace(p2, 'ANSWER', a) || ' because ' || title, replace(p2, 'ANSWER', a), '')")} AS pred
 FROM o2""", "S16")
 def two_step_compose(spark, d):
     r = _rendered(spark, d).where(F.col("mode") == "two_step")
-    ans_out = F.concat(F.col("prompt"), F.lit(" "), first_words(F.col("title"), 3))
+    ans_out = F.concat(F.col("prompt"), F.lit(" "), F.col("title"))
     ans = P.strip(F.replace(ans_out, F.col("prompt"), F.lit("")))
     expl_out = F.concat(P.fill_answer_slot("prompt_2", ans), F.lit(" because "), F.col("title"))
     return r.select("run_id", "id", P.compose_two_step("prompt", ans_out, "prompt_2", expl_out).alias("pred"))
@@ -104,13 +103,17 @@ def align_predictions(spark, d):
 # ------------------------------------------------------------------------------ evaluation
 
 def _eval_source(spark, d):
-    """Predictions for evaluation: pairs grouped in 12 runs; dataset and answer format per run."""
+    """Predictions for evaluation: pairs in 12 runs, dataset and answer format per run.  Every
+    question is answered by three runs (run, run + 4, run + 8), by the second with the
+    response of the question before it in the conversation and by the third with none, so
+    runs share question keys and differ in their scores."""
     f = fx.formatted_preds(spark, d)
     p = fx.pairs(spark, d).select("pair_id", "conv_id", "question", "response")
-    j = f.join(p, "pair_id")
-    run = (F.col("conv_id") % 12).cast("long")
+    j = f.join(p, "pair_id").withColumn("arm", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    run = (F.col("conv_id") % 4 + F.col("arm") * 4).cast("long")
     fmt = F.element_at(F.array(F.lit("semicolon"), F.lit("newline"), F.lit("json")), (run % 3 + 1).cast("int"))
     pred = F.when(fmt == "newline", F.col("pred_newline")).when(fmt == "json", F.col("pred_json")).otherwise(F.col("pred_semicolon"))
+    pred = F.when(F.col("arm") == 0, pred).when(F.col("arm") == 1, F.concat(F.lit("No idea; "), "question")).otherwise(F.lit(""))
     return j.select(
         run.alias("run_id"), "pair_id",
         F.element_at(F.array(*[F.lit(n) for n in fx.DATASET_NAMES]), (run % 4 + 1).cast("int")).alias("dataset_name"),
@@ -120,13 +123,17 @@ def _eval_source(spark, d):
 
 
 _EVAL_SRC_SQL = fx.FORMATTED_SQL + f""",
+arms AS (
+  SELECT (p.conv_id % 4 + a.arm * 4)::BIGINT AS run_id, a.arm, f.*, p.question, p.response
+  FROM formatted f JOIN pairs p ON f.pair_id = p.pair_id CROSS JOIN (VALUES (0), (1), (2)) a(arm)
+),
 src AS (
-  SELECT (p.conv_id % 12)::BIGINT AS run_id, f.pair_id,
-         ({fx._NAMES_SQL})[p.conv_id % 12 % 4 + 1] AS dataset_name,
-         (['semicolon', 'newline', 'json'])[p.conv_id % 12 % 3 + 1] AS output_format,
-         CASE (p.conv_id % 12 % 3) WHEN 1 THEN f.pred_newline WHEN 2 THEN f.pred_json ELSE f.pred_semicolon END AS pred,
-         f.golds, [p.question || ' ' || p.response] AS provenance
-  FROM formatted f JOIN pairs p ON f.pair_id = p.pair_id
+  SELECT run_id, pair_id, ({fx._NAMES_SQL})[run_id % 4 + 1] AS dataset_name,
+         (['semicolon', 'newline', 'json'])[run_id % 3 + 1] AS output_format,
+         CASE WHEN arm = 1 THEN 'No idea; ' || question WHEN arm = 2 THEN ''
+              ELSE CASE (run_id % 3) WHEN 1 THEN pred_newline WHEN 2 THEN pred_json ELSE pred_semicolon END END AS pred,
+         golds, [question || ' ' || response] AS provenance
+  FROM arms
 )"""
 
 
@@ -167,8 +174,8 @@ pgr AS (SELECT run_id, pair_id, pos, substr(pred, pos + 1, 25) AS gram
 cgr AS (SELECT DISTINCT gram FROM (SELECT substr(text, pos + 1, 25) AS gram
         FROM (SELECT text, unnest(range(0, greatest(length(text) - 24, 0))) AS pos FROM documents)) WHERE gram IN (SELECT gram FROM pgr)),
 ovp AS (SELECT s.run_id, s.pair_id, coalesce(h.hits / h.segs, 0.0) AS overlap FROM src s LEFT JOIN (
-          SELECT pair_id, count(*) AS segs, sum(CASE WHEN c.gram IS NOT NULL THEN 1 ELSE 0 END) AS hits
-          FROM pgr LEFT JOIN cgr c ON pgr.gram = c.gram GROUP BY pair_id) h ON s.pair_id = h.pair_id),
+          SELECT run_id, pair_id, count(*) AS segs, sum(CASE WHEN c.gram IS NOT NULL THEN 1 ELSE 0 END) AS hits
+          FROM pgr LEFT JOIN cgr c ON pgr.gram = c.gram GROUP BY run_id, pair_id) h ON s.pair_id = h.pair_id AND s.run_id = h.run_id),
 ovr AS (SELECT run_id, 'answers' AS target, avg(overlap) AS avg_percent_overlap FROM ovp GROUP BY run_id)"""
         ov_join = "LEFT JOIN ovr USING (run_id, target)"
         ov_col = ", round(ovr.avg_percent_overlap, 9) AS avg_percent_overlap"
@@ -186,7 +193,7 @@ sc AS (SELECT run_id, pair_id, target, max({D.em('pa', 'ga')}) AS em, max({D.f1(
               max({D.rougel('pe', 'ge')}) AS rougel FROM tk GROUP BY run_id, pair_id, target),
 means AS (SELECT run_id, target, avg(em) AS em, avg(f1) AS f1, avg(rougel) AS rougel, count(*)::BIGINT AS n
           FROM sc GROUP BY run_id, target),
-{D.bleu_ctes('tg', "CAST(pair_id AS VARCHAR) || '|' || target", ['run_id', 'target'], 'explanation', 'golds')}{ov}
+{D.bleu_ctes('tg', "CAST(run_id AS VARCHAR) || '|' || CAST(pair_id AS VARCHAR) || '|' || target", ['run_id', 'target'], 'explanation', 'golds')}{ov}
 SELECT means.run_id, means.target, round(means.em, 9) AS em, round(means.f1, 9) AS f1, round(means.rougel, 9) AS rougel,
        means.n, round(bl_f.bleu, 9) AS bleu{ov_col}
 FROM means LEFT JOIN bl_f USING (run_id, target) {ov_join}"""
@@ -208,18 +215,18 @@ def evaluate(spark, d):
 parsed AS (SELECT *, {_parse_sql('pred', 'output_format', 'dataset_name')[0]} AS answer,
                      {_parse_sql('pred', 'output_format', 'dataset_name')[1]} AS explanation FROM src),
 tg AS (
-  SELECT pair_id, 'answers' AS target, answer, explanation, {_coerce('golds')} AS golds FROM parsed
+  SELECT run_id, pair_id, 'answers' AS target, answer, explanation, {_coerce('golds')} AS golds FROM parsed
   UNION ALL
-  SELECT pair_id, 'provenance', answer, explanation, {_coerce('provenance')} FROM parsed WHERE {_has_prov('dataset_name')}
+  SELECT run_id, pair_id, 'provenance', answer, explanation, {_coerce('provenance')} FROM parsed WHERE {_has_prov('dataset_name')}
 ),
-pg AS (SELECT pair_id, target, answer, explanation, unnest(golds) AS gold FROM tg),
-tk AS (SELECT pair_id, target, {D.norm_tokens('answer')} AS pa, {D.norm_tokens('gold')} AS ga,
+pg AS (SELECT run_id, pair_id, target, answer, explanation, unnest(golds) AS gold FROM tg),
+tk AS (SELECT run_id, pair_id, target, {D.norm_tokens('answer')} AS pa, {D.norm_tokens('gold')} AS ga,
               {D.ws_tokens('explanation')} AS pe, {D.ws_tokens('gold')} AS ge FROM pg)
-SELECT pair_id, target, max({D.em('pa', 'ga')}) AS em, max({D.f1('pa', 'ga')}) AS f1, max({D.rougel('pe', 'ge')}) AS rougel
-FROM tk GROUP BY pair_id, target""", ("G4", "D3"))
+SELECT run_id, pair_id, target, max({D.em('pa', 'ga')}) AS em, max({D.f1('pa', 'ga')}) AS f1, max({D.rougel('pe', 'ge')}) AS rougel
+FROM tk GROUP BY run_id, pair_id, target""", ("G4", "D3"))
 def provenance_eval(spark, d):
     s = EV.score_targets(_eval_source(spark, d))
-    return s.select("pair_id", "target", "em", "f1", "rougel")
+    return s.select("run_id", "pair_id", "target", "em", "f1", "rougel")
 
 
 def _stored_runs(spark, d):
@@ -246,10 +253,26 @@ src AS (
   FROM formatted f JOIN pairs p ON f.pair_id = p.pair_id
 )"""), "G3")
 def rescore_runs(spark, d):
-    runs = _stored_runs(spark, d)
-    z = F.arrays_zip(F.col("pred").alias("pred"), F.col("refs").alias("golds"), F.col("provenances").alias("provenance"))
-    rows = runs.select("run_id", F.col("params.dataset").alias("dataset_name"), F.col("params.output_format").alias("output_format"),
-                       F.posexplode(z).alias("idx", "r")).select(
-        "run_id", "dataset_name", "output_format", (F.col("run_id") * 1000 + F.col("idx")).alias("pair_id"),
-        "r.pred", "r.golds", "r.provenance")
-    return _rounded_eval(EV.evaluate(rows, fx.corpus(spark, d)))
+    """Stored run files, written and read back, scored again."""
+    from groundeval.plans.queries_sources import stored_run_files
+
+    return _rounded_eval(EV.rescore_runs(stored_run_files(spark, d), fx.corpus(spark, d)))
+
+
+_RECORD_SQL = _eval_sql(_EVAL_SRC_SQL).partition("SELECT means.run_id")[0].rstrip() + """
+SELECT sc.run_id, sc.target, list(sc.em ORDER BY sc.pair_id) AS em_list, list(sc.f1 ORDER BY sc.pair_id) AS f1_list,
+       list(sc.rougel ORDER BY sc.pair_id) AS rougel_list, list(ovp.overlap ORDER BY sc.pair_id) AS percent_overlap_list
+FROM sc JOIN ovp ON sc.run_id = ovp.run_id AND sc.pair_id = ovp.pair_id GROUP BY sc.run_id, sc.target"""
+
+
+@register("run_record", _RECORD_SQL, ("A9", "G3"))
+def run_record(spark, d):
+    """The lists of the stored result record, out of the nested record that ``run_results``
+    builds for export."""
+    preds = _eval_source(spark, d)
+    corpus = fx.corpus(spark, d)
+    rec = EV.run_results(EV.score_rows(preds, corpus), EV.evaluate(preds, corpus), key="pair_id")
+    one = lambda t: rec.where(F.col(f"results.{t}").isNotNull()).select(
+        "run_id", F.lit(t).alias("target"), *[F.col(f"results.{t}.{m}_list").alias(f"{m}_list") for m in ("em", "f1", "rougel")],
+        F.col("results.datasketch.percent_overlap_list").alias("percent_overlap_list"))
+    return one("answers").unionByName(one("provenance"))

@@ -137,16 +137,39 @@ def _bloom(spark, d):
     return ov.bloom_sketch(docs.select("doc_id", "text"), m_bits=m), m
 
 
-@register("sketch_bloom", None, ("E14",))
-def sketch_bloom(spark, d):
-    """Bloom sketch of the corpus as ``(word, bits)``; rows-only check (no SQL twin of the hash)."""
-    return _bloom(spark, d)[0]
-
-
-@register("quip_overlap_bloom", None, ("C13", "E14"))
-def quip_overlap_bloom(spark, d):
-    """Overlap read from the Bloom sketch; never below the exact score of an item."""
+@register("bloom_contract", "WITH q AS (" + QUIP_OVERLAP_SQL + """)
+SELECT item_id, segments, hits AS exact_hits, TRUE AS none_missed, TRUE AS few_false FROM q""", ("C13", "E14"))
+def bloom_contract(spark, d):
+    """Per item: exact hits, that the sketch misses none of them, and that its false
+    positives stay within five standard deviations of the filter's 1 % rate."""
     probe = _probe(spark, d)
     sketch, m = _bloom(spark, d)
-    hits = ov.bloom_hits(probe, sketch, m_bits=m, id_col="item_id")
-    return ov.overlap_from_hits(probe, hits, "item_id")
+    approx = ov.overlap_from_hits(probe, ov.bloom_hits(probe, sketch, m_bits=m, id_col="item_id"), "item_id")
+    j = quip_overlap(spark, d).join(approx.select("item_id", F.col("hits").alias("bloom_hits")), "item_id")
+    false, rest = F.col("bloom_hits") - F.col("hits"), F.col("segments") - F.col("hits")
+    return j.select("item_id", "segments", F.col("hits").alias("exact_hits"), (false >= 0).alias("none_missed"),
+                    (false <= 0.01 * rest + 5 * F.sqrt(0.01 * rest) + 1).alias("few_false"))
+
+
+_STRIDE = 5
+
+
+@register("quip_overlap_stride", "WITH " + _PG + f""",
+cg AS (
+  SELECT DISTINCT gram FROM (
+    SELECT substr(text, pos + 1, 25) AS gram
+    FROM (SELECT text, unnest(range(0, greatest(length(text) - 24, 0), {_STRIDE})) AS pos FROM documents)
+  ) WHERE gram IN (SELECT gram FROM pg)
+),
+m AS (SELECT DISTINCT pg.item_id, pg.pos FROM pg JOIN cg ON pg.gram = cg.gram),
+b AS (SELECT a.item_id, unnest(range(a.pos + 1, a.pos + {_STRIDE})) AS pos
+      FROM m a JOIN m z ON a.item_id = z.item_id AND z.pos = a.pos + {_STRIDE}),
+u AS (SELECT * FROM m UNION SELECT * FROM b),
+n AS (SELECT item_id, count(*) AS hits FROM u GROUP BY item_id)
+SELECT t.item_id, greatest(length(t.text) - 24, 0)::BIGINT AS segments, coalesce(n.hits, 0)::BIGINT AS hits,
+       CASE WHEN length(t.text) < 25 THEN 0.0 ELSE coalesce(n.hits, 0) / (length(t.text) - 24) END AS overlap
+FROM benchmark t LEFT JOIN n ON t.item_id = n.item_id
+""", ("W3", "E4", "C13"))
+def quip_overlap_stride(spark, d):
+    """Every fifth corpus position stored, members between two hits five apart inferred."""
+    return ov.quip_overlap(_probe(spark, d), fx.corpus(spark, d), id_col="item_id", stride=_STRIDE)

@@ -77,12 +77,12 @@ def popularity_set(spark, d):
 
 
 @register("popularity_curve", "WITH " + POP_SQL + f""",
-sc AS (SELECT l_orderkey AS id, l_discount AS score FROM lineitem WHERE l_linenumber = 1),
+sc AS (SELECT l_orderkey AS id, l_discount AS score FROM lineitem),
 j AS (SELECT p.id, {_case_sql(PO.PLOTTING_BINS, 'label')} AS bin, sc.score FROM pop p JOIN sc ON p.id = sc.id)
 SELECT bin, count(*)::BIGINT AS n, round(avg(score), 9) AS mean, round(stddev_samp(score) / sqrt(count(*)), 9) AS se
 FROM j WHERE bin IS NOT NULL GROUP BY bin""", ("E7", "C10"))
 def popularity_curve(spark, d):
     p = PO.bin_rows(popularity_table(spark, d), bins=PO.PLOTTING_BINS)
-    sc = fx.table(spark, d, "lineitem").where(F.col("l_linenumber") == 1).select(F.col("l_orderkey").alias("id"), F.col("l_discount").alias("score"))
+    sc = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_discount").alias("score"))
     c = PO.curve(p.join(sc, "id"), "bin", "score")
     return c.select("bin", F.col("n").cast("long"), F.round("mean", 9).alias("mean"), F.round("se", 9).alias("se"))

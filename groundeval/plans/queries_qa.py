@@ -5,20 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundeval.functions.text import first_words
 from groundeval.operators import provenance as PV
 from groundeval.operators import qa as Q
-from groundeval.plans import duck as D
 from groundeval.plans import fixtures as fx
 from groundeval.plans.catalog import register
 
 NOPROV = "['empty n/a']"
 
 
-def _fw_sql(x: str, n: str) -> str:
-    return f"array_to_string({D.ws_tokens(x)}[1:{n}], ' ')"
-
-
 # ------------------------------------------------------------------ simple adapters
 
 @register("qa_canonical", "WITH " + fx.PAIRS_SQL + """
@@ -32,9 +26,9 @@ def qa_canonical(spark, d):
 
 
 @register("qa_open", "WITH " + fx.PAIRS_SQL + f"""
-SELECT 'n/a' AS id, question AS title, [{_fw_sql('response', '4')}] AS answers, {NOPROV} AS provenance FROM pairs""", "B2")
+SELECT 'n/a' AS id, question AS title, [response] AS answers, {NOPROV} AS provenance FROM pairs""", "B2")
 def qa_open(spark, d):
-    p = fx.pairs(spark, d).select("question", F.array(first_words(F.col("response"), 4)).alias("answer"))
+    p = fx.pairs(spark, d).select("question", F.array("response").alias("answer"))
     return Q.open_qa(p)
 
 
@@ -91,7 +85,7 @@ def _multihop_rows(spark, d):
     paras = F.split(F.col("text"), "\n")
     return doc.select(
         F.col("doc_id").alias("id"),
-        first_words(F.col("text"), 8).alias("question"),
+        F.col("text").alias("question"),
         F.col("source").alias("answer"),
         F.struct(F.array(F.concat(F.col("source"), F.lit("#"), (F.col("doc_id") % 7 + 1).cast("string")), F.lit("nomatch")).alias("title")).alias("supporting_facts"),
         F.struct(
@@ -103,7 +97,7 @@ def _multihop_rows(spark, d):
 
 @register("qa_multihop_provenance", f"""
 WITH m AS (
-  SELECT doc_id, {_fw_sql('text', '8')} AS question, source AS answer,
+  SELECT doc_id, text AS question, source AS answer,
          [source || '#' || CAST(doc_id % 7 + 1 AS VARCHAR), 'nomatch'] AS sup,
          list_transform(string_split(text, chr(10)), lambda p, i: source || '#' || CAST(i - 1 AS VARCHAR)) AS ct,
          list_transform(string_split(text, chr(10)), lambda p: string_split(p, '. ')) AS sent
@@ -141,7 +135,7 @@ def _pubmed_items(spark, d):
     doc = fx.table(spark, d, "documents")
     return doc.select(
         F.col("doc_id").cast("string").alias("id"),
-        first_words(F.col("text"), 10).alias("QUESTION"),
+        F.col("text").alias("QUESTION"),
         F.split(F.col("text"), "\n").alias("CONTEXTS"),
         F.element_at(F.split(F.col("text"), "\n"), -1).alias("LONG_ANSWER"),
         F.when(F.col("doc_id") % 2 == 1, F.lit("yes")).otherwise(F.lit("no")).alias("final_decision"),
@@ -156,7 +150,7 @@ def _truth(spark, d):
 
 _PUB_SQL = f"""
 WITH items AS (
-  SELECT CAST(doc_id AS VARCHAR) AS id, {_fw_sql('text', '10')} AS question, string_split(text, chr(10)) AS contexts,
+  SELECT CAST(doc_id AS VARCHAR) AS id, text AS question, string_split(text, chr(10)) AS contexts,
          string_split(text, chr(10))[-1] AS long_answer,
          CASE WHEN doc_id % 2 = 1 THEN 'yes' ELSE 'no' END AS final_decision
   FROM documents
@@ -212,7 +206,7 @@ def _kilt_raw(spark, d):
         F.lit(None).cast("int").alias("start_character"), F.lit(None).cast("int").alias("end_character"),
     ).cast(_PTR)
     item_t = T.StructType([T.StructField("answer", T.StringType()), T.StructField("provenance", T.ArrayType(_PTR))])
-    a1, a2 = first_words(F.col("text"), 3), first_words(F.col("text"), 2)
+    a1, a2 = F.col("text"), F.concat(F.lit("Re: "), "text")
     full = F.array(
         F.struct(a1.alias("answer"), F.array(p1, p2).alias("provenance")).cast(item_t),
         F.struct(a2.alias("answer"), F.array().cast(T.ArrayType(_PTR)).alias("provenance")).cast(item_t),
@@ -235,7 +229,7 @@ def _slices(spark, d):
 _KILT_SQL = f"""
 WITH kilt AS (
   SELECT CAST(item_id AS VARCHAR) AS id, text AS input, item_id,
-         {_fw_sql('text', '3')} AS a1, {_fw_sql('text', '2')} AS a2
+         text AS a1, 'Re: ' || text AS a2
   FROM benchmark
 ),
 ptrs AS (

@@ -59,11 +59,8 @@ def read_summaries(spark, d):
     return RD.read_summaries(spark, root)
 
 
-@register("read_runs", "WITH " + fx.PAIRS_SQL + """
-SELECT conv_id::BIGINT AS run_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS idx,
-       question, answer || '; ' || explanation AS pred, golds
-FROM pairs""", ("A4", "A9"))
-def read_runs(spark, d):
+def stored_run_files(spark, d):
+    """The derived runs, written as result files and read back."""
     from groundeval.plans.queries_generate import _stored_runs
 
     runs = _stored_runs(spark, d)
@@ -72,8 +69,16 @@ def read_runs(spark, d):
         F.col("r.refs").alias("refs"), F.col("r.provenances").alias("provenances"))
     path = _scratch(spark, "runs")
     W.write_runs(rows, runs.select("run_id", "params", F.lit(None).cast(RD.RUN_SCHEMA["results"].dataType).alias("results")), path)
-    back = EV.runs_to_rows(RD.read_runs(spark, path))
-    return back.select("run_id", "idx", "question", "pred", "golds")
+    return RD.read_runs(spark, path)
+
+
+@register("read_runs", "WITH " + fx.PAIRS_SQL + """
+SELECT conv_id::BIGINT AS run_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS idx,
+       question, answer || '; ' || explanation AS pred, golds, [response] AS provenance
+FROM pairs""", ("A4", "A9"))
+def read_runs(spark, d):
+    back = EV.runs_to_rows(stored_run_files(spark, d))
+    return back.select("run_id", "idx", "question", "pred", "golds", "provenance")
 
 
 @register("read_keyed_json", """

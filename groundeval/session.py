@@ -8,6 +8,7 @@ scratch folder themselves when (and only when) none is configured.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +42,9 @@ def get_spark(master: str | None = None, app: str = "groundeval", **conf) -> Spa
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; a scratch folder only when unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.  Where it is unset a local session
+    (tests, bench) gets a scratch folder; on a cluster that is an error, because executors do
+    not see each other's disks."""
     try:
         configured = spark.conf.get("spark.checkpoint.dir", None)
     except Exception:  # noqa: BLE001
@@ -51,6 +54,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="groundeval-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     try:  # core configs may be read-only at runtime; the context setting above is what counts

@@ -2,10 +2,10 @@
 
 The reference scores finished runs only; here the same batch operators run per
 micro-batch, so a generation job can drop prediction files into a folder and the scores
-appear incrementally.  ``foreachBatch`` keeps the exact overlap plan (it needs the batch's
-probe hashes), and the checkpoint in the shared folder gives exactly-once progress
-across executor or driver loss.  ``running_metrics`` keeps per-run means as streaming
-state.
+appear incrementally.  ``foreachBatch`` keeps the exact overlap plan (it needs a filter of
+the batch's grams).  Every micro-batch overwrites its own ``batch_id=`` folder, so a batch
+that is replayed after a failure leaves the same rows once.  ``running_metrics`` keeps
+per-run means as streaming state.
 """
 
 from __future__ import annotations
@@ -41,27 +41,25 @@ def score_batch(preds: DataFrame, corpus: DataFrame | None = None, *, sketch: Da
     With ``sketch`` (a Bloom table from ``bloom_sketch`` and its ``m_bits``) the overlap is
     read from the sketch — one join per batch, no corpus scan, the right choice for a
     long-running stream over a large corpus.  Otherwise the exact corpus scan runs."""
-    scored = EV.score_targets(preds)
-    texts = preds.select(F.col("pair_id").alias("id"), F.col("pred").alias("text"))
-    if sketch is not None:
-        hits = OV.bloom_hits(texts, sketch, m_bits=m_bits, id_col="id")
-        ov = OV.overlap_from_hits(texts, hits, "id")
-    else:
-        ov = OV.quip_overlap(texts, corpus, id_col="id")
-    ov = ov.select(F.col("id").alias("pair_id"), "overlap")
-    return scored.select("run_id", "pair_id", "target", "em", "f1", "rougel").join(ov, "pair_id", "left")
+    if sketch is None:
+        return EV.score_rows(preds, corpus).select("pair_id", "run_id", "target", "em", "f1", "rougel", "overlap")
+    scored = EV.score_rows(preds, None).drop("overlap")
+    texts = preds.select(F.struct("run_id", "pair_id").alias("id"), F.col("pred").alias("text"))
+    ov = OV.overlap_from_hits(texts, OV.bloom_hits(texts, sketch, m_bits=m_bits, id_col="id"), "id")
+    ov = ov.select("id.run_id", "id.pair_id", "overlap")
+    return scored.join(ov, ["run_id", "pair_id"], "left").select("pair_id", "run_id", "target", "em", "f1", "rougel", "overlap")
 
 
 def start_scoring(stream: DataFrame, corpus: DataFrame | None, sink: str, *, name: str = "scores",
                   available_now: bool = True, sketch: DataFrame | None = None, m_bits: int | None = None) -> StreamingQuery:
-    """Append per-prediction scores of every micro-batch to parquet at ``sink``.  Pass a
+    """Per-prediction scores of every micro-batch as parquet in ``sink/batch_id=N``.  Pass a
     persisted Bloom ``sketch`` (and its ``m_bits``) to avoid touching the corpus per batch."""
     spark = stream.sparkSession
     ckpt = os.path.join(checkpoint_dir(spark), f"stream-{name}")
 
     def process(batch: DataFrame, batch_id: int) -> None:
         out = score_batch(batch, corpus, sketch=sketch, m_bits=m_bits)
-        out.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
+        out.write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))
 
     w = stream.writeStream.foreachBatch(process).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
@@ -89,7 +87,7 @@ def start_running_metrics(spark: SparkSession, scores_folder: str, table: str, *
     agg = running_metrics(spark.readStream.schema(SCORE_SCHEMA).parquet(scores_folder))
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(table)
+        batch.write.mode("overwrite").parquet(os.path.join(table, f"batch_id={batch_id}"))
 
     w = agg.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

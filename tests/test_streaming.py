@@ -50,13 +50,13 @@ def test_stream_with_bloom_sketch(spark, tmp_path):
     inbox, sink = str(tmp_path / "in"), str(tmp_path / "scores")
     src.write.json(inbox)
     corpus = fx.corpus(spark, SF001)
-    m = OV.bloom_bits_for(OV._probe_gram_count(corpus, "text", 25))
+    m = OV.bloom_bits_for(OV._window_total(corpus, "text", 25))
     sketch_path = str(tmp_path / "sketch")
     OV.bloom_sketch(corpus, m_bits=m).write.parquet(sketch_path)  # built once, reused by every batch
     q = S.start_scoring(spark.readStream.schema(S.PREDICTION_SCHEMA).json(inbox), None, sink, name=f"b{os.getpid()}",
                         sketch=spark.read.parquet(sketch_path), m_bits=m)
     q.awaitTermination(300)
-    approx = {(r.pair_id, r.target): r.overlap for r in spark.read.parquet(sink).collect()}
-    exact = {(r.pair_id, r.target): r.overlap for r in S.score_batch(src, corpus).collect()}
+    approx = {(r.run_id, r.pair_id, r.target): r.overlap for r in spark.read.parquet(sink).collect()}
+    exact = {(r.run_id, r.pair_id, r.target): r.overlap for r in S.score_batch(src, corpus).collect()}
     assert approx.keys() == exact.keys()
     assert all(approx[k] >= exact[k] - 1e-12 for k in exact)

@@ -20,6 +20,9 @@ numbers are ``shard * 2^32 + n``.
 from __future__ import annotations
 
 import re
+import sys
+import types
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +32,10 @@ from pyspark.sql import functions as F
 
 from groundeval.llm.common import WordTable, as_bytes
 
-#: Words that the tokenizer's normaliser and pre-tokeniser leave alone but for case: one run of
-#: precomposed Latin letters, with at most one full stop or comma after it.
-SIMPLE = re.compile("([a-zA-ZÀ-ÖØ-öø-įı-ſ]+)([.,]?)")
+#: Words that the tokenizer's normaliser and pre-tokeniser leave alone but for case: runs of
+#: precomposed Latin letters.  A run of ``MARKS`` after one is a pre-token of its own.
+SIMPLE = re.compile("[a-zA-ZÀ-ÖØ-öø-įı-ſ]+")
+MARKS = ".,;:!?#$%&*()-+=/|~"
 
 
 def byte_symbols() -> dict[int, str]:
@@ -55,20 +59,23 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.model, self.symbols = self.tokenizer.model, byte_symbols()
         self.word_level = word_level
-        self.stops = {s: self._full(s) for s in (".", ",")}
-        self.words = WordTable(self._word, 300_000)
+        self.marks = WordTable(self._full, 10_000)
+        self.words = WordTable(self._word, 800_000)
 
     def _full(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        simple = SIMPLE.fullmatch(text)
-        if not simple:
+        stem = text.rstrip(MARKS)
+        if stem.isascii() and stem.isalpha():
+            inner = stem.lower()
+        elif SIMPLE.fullmatch(stem):
+            inner = stem.lower().encode().decode("latin-1").translate(self.symbols)
+        else:
             return self._full(text)
-        inner = simple[1].lower().encode().decode("latin-1").translate(self.symbols)
-        ids = np.array([t.id for t in self.model.tokenize(inner)], dtype="<u4").tobytes()
-        return ids + self.stops[simple[2]] if simple[2] else ids
+        ids = array("I", [t.id for t in self.model.tokenize(inner)]).tobytes()
+        return ids if len(stem) == len(text) else ids + self.marks[text[len(stem) :]]
 
     def encode(self, text: str | None) -> bytes:
         if not self.word_level:
@@ -77,6 +84,17 @@ class Encoder:
         return b"".join([words[w] for w in as_bytes(text).split()])
 
 
+def worker_encoder(tokenizer_file: str, word_level: bool) -> Encoder:
+    """One encoder for all tasks of a Python worker, so that a word met in one shard need not
+    be encoded again in the next; its table is bounded.  Functions are sent to workers by
+    value, so the worker-wide place is a module made there."""
+    shared = sys.modules.setdefault("groundeval_worker_encoders", types.ModuleType("groundeval_worker_encoders"))
+    key = f"{tokenizer_file}|{word_level}"
+    if not hasattr(shared, key):
+        setattr(shared, key, Encoder(tokenizer_file, word_level))
+    return getattr(shared, key)
+
+
 class Bm25:
     """Inverted index over documents given as id arrays."""
 
@@ -96,8 +114,10 @@ class Bm25:
         self.queries, at = [], 0
         for t, size in zip(terms, sizes, strict=True):
             w = weight[at : at + size]
-            top = np.argsort(-w, kind="stable")[:query_terms] if size > query_terms else np.arange(size)
-            self.queries.append(t[top])
+            if size > query_terms:  # ties at the edge: smaller ids
+                edge = np.partition(w, size - query_terms)[size - query_terms]
+                t = t[np.concatenate([np.flatnonzero(w > edge), np.flatnonzero(w == edge)])[:query_terms]]
+            self.queries.append(t)
             at += size
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
@@ -201,17 +221,16 @@ def pack(
 
     def pack_group(key, rows: Iterator[pa.RecordBatch]):
         shard = key[0].as_py()
-        encoder = Encoder(tokenizer_file, word_level)
+        encoder = worker_encoder(tokenizer_file, word_level)
         end = np.array([end_id], dtype="<u4").tobytes()
         ids, blobs = [], []
         for b in rows:
             ids.extend(b.column("id").to_pylist())
             blobs.extend(encoder.encode(t) + end for t in b.column("text").to_pylist())
-        encoder.words.clear()
         # order by content, so that the result does not depend on the order of arrival
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0, blobs[i]))
         ids, blobs = [ids[i] for i in order], [blobs[i] for i in order]
-        pieces = pack_shard([np.frombuffer(x, dtype="<u4").astype(np.int64) for x in blobs], size, query_terms)
+        pieces = pack_shard([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in blobs], size, query_terms)
         base = shard << 32
         for lo in range(0, len(pieces), 5000):
             part = pieces[lo : lo + 5000]

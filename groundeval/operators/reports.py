@@ -7,11 +7,12 @@ declared value list (no self-join).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundeval.functions import prompts as P
 from groundeval.functions.format import format_fixed1
+from groundeval.registry import HEADLINE_METRIC, TABLE_DATASETS
 
 METRICS = ["ds-25-overlap", "em", "f1", "rougel", "bleu", "average_tokens"]
 
@@ -48,10 +49,6 @@ COMPARE_MODEL_MAP = {
 }
 COMPARE_ORDER = ["small", "base", "large", "xl", "xxl"]
 
-# The four datasets of the prompt table and the headline metric of each.
-TABLE_DATASETS = ["trivia_qa", "nq_open", "hotpot", "ELI5_dev"]
-HEADLINE_METRIC = {"trivia_qa": "em", "nq_open": "em", "hotpot": "f1", "ELI5_dev": "rougel"}
-
 
 def dimension(spark: SparkSession, mapping: dict[str, str], order: list[str], key="model", value="model_size") -> DataFrame:
     """A fixed lookup table ``(key, value, sort_key)``; tiny by construction."""
@@ -98,10 +95,14 @@ def lookup(df: DataFrame, dim: DataFrame, key: str = "model") -> DataFrame:
     )
 
 
-def prompt_dataset_table(summary: DataFrame, by=("model",)) -> DataFrame:
+def prompt_dataset_table(summary: DataFrame, by=("model",), binary: bool = False) -> DataFrame:
     """Prompt × dataset table: per prompt label, overlap and the dataset's headline metric
-    (×100) for the four datasets, with the number of summary rows behind each cell."""
-    label = P.strip_boilerplate("prompt", drop_escaped_newlines=True)
+    (×100) for the four datasets, with the number of summary rows behind each cell.
+
+    ``rank`` is the row's place in ascending overlap of the first (driving) dataset within
+    ``by``, ties by label, rows without it last.  ``binary`` replaces the prompts by whether
+    they ask for attribution."""
+    label = P.attribution_label("prompt") if binary else P.strip_boilerplate("prompt", drop_escaped_newlines=True)
     headline = F.lit(None).cast("double")
     for ds, metric in HEADLINE_METRIC.items():
         headline = F.when(F.col("dataset") == ds, F.col(f"`{metric}-mean`")).otherwise(headline)
@@ -109,9 +110,10 @@ def prompt_dataset_table(summary: DataFrame, by=("model",)) -> DataFrame:
         *by, label.alias("label"), "dataset", F.col("`ds-25-overlap-mean`").alias("ov"), headline.alias("hm")
     )
     piv = base.groupBy(*by, "label").pivot("dataset", TABLE_DATASETS).agg(
-        (F.avg("ov") * 100).alias("overlap"), (F.avg("hm") * 100).alias("metric"), F.count(F.lit(1)).alias("n")
+        F.round(F.avg("ov") * 100, 9).alias("overlap"), F.round(F.avg("hm") * 100, 9).alias("metric"), F.count(F.lit(1)).alias("n")
     )
-    return piv.withColumn("display", P.display_text("label"))
+    order = Window.partitionBy(*by).orderBy(F.asc_nulls_last(f"{TABLE_DATASETS[0]}_overlap"), "label")
+    return piv.withColumn("display", P.display_text("label")).withColumn("rank", F.row_number().over(order).cast("long"))
 
 
 def format_pct(c) -> F.Column:
@@ -120,6 +122,18 @@ def format_pct(c) -> F.Column:
     return format_fixed1(c)
 
 
+def format_change(c) -> Column:
+    """A change in percent as the tables print it: one digit and a percent sign."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.isNotNull(), F.concat(format_fixed1(c), F.lit("%")))
+
+
+def model_type(model="model") -> Column:
+    """OpenAI, FLAN-T5 or T5, by model name."""
+    m = F.col(model) if isinstance(model, str) else model
+    return F.when(~m.startswith("t5-"), F.lit("OpenAI")).when(m.contains("flan-t5"), F.lit("FLAN-T5")).otherwise(F.lit("T5"))
+
+
 def relative_change(summary: DataFrame, by=("model", "dataset")) -> DataFrame:
     """(grounded − null) / null × 100 for the overlap and the dataset's headline metric,
     by conditional averages over the two prompt labels; null when the base is 0 or absent."""
@@ -142,10 +156,10 @@ def relative_change(summary: DataFrame, by=("model", "dataset")) -> DataFrame:
 
 def size_curve(summary: DataFrame, dim: DataFrame) -> DataFrame:
     """Overlap by model size × prompt type (Null / Grounded): mean, standard error and
-    twice the mean per-row std, ordered by the declared size order."""
+    twice the mean per-row std, with the model type, ordered by the declared size order."""
     j = lookup(summary, dim).where("matched")
     j = j.withColumn("prompt_type", P.null_vs_grounded("prompt"))
-    g = j.groupBy("model_size", "sort_key", "prompt_type").agg(
+    g = j.withColumn("model_type", model_type()).groupBy("model_type", "model_size", "sort_key", "prompt_type").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("`ds-25-overlap-mean`").alias("overlap"),
         (F.stddev_samp("`ds-25-overlap-mean`") / F.sqrt(F.count(F.lit(1)))).alias("overlap_se"),
@@ -155,10 +169,10 @@ def size_curve(summary: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def family_compare(summary: DataFrame, dim: DataFrame, size: str = "xxl") -> DataFrame:
-    """Model family × prompt type at one size: mean and SE of overlap and ROUGE-L."""
+    """Model family (T5 and FLAN-T5) × prompt type at one size: mean and SE of overlap and
+    ROUGE-L."""
     j = lookup(summary, dim).where(F.col("matched") & (F.col("model_size") == size))
-    fam = F.when(F.col("model").contains("flan-t5"), F.lit("FLAN-T5")).otherwise(F.lit("T5"))
-    j = j.withColumn("family", fam).withColumn("prompt_type", P.grounded_marker_label("prompt"))
+    j = j.withColumn("family", model_type()).where("family != 'OpenAI'").withColumn("prompt_type", P.grounded_marker_label("prompt"))
     n = F.count(F.lit(1))
     return j.groupBy("family", "prompt_type").agg(
         n.alias("n"),

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundeval.registry import TABLE_DATASETS
+
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -132,9 +134,9 @@ runs AS (
 
 
 # ------------------------------------------------------------- configs, prompts, QA table
-# Dataset names of the reference's headline table, used as stand-in names.
-DATASET_NAMES = ["nq_open", "trivia_qa", "hotpot", "ELI5_dev"]
-_NAMES_SQL = "['nq_open', 'trivia_qa', 'hotpot', 'ELI5_dev']"
+# The four datasets of the prompt table, used as stand-in names.
+DATASET_NAMES = TABLE_DATASETS
+_NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in DATASET_NAMES) + "]"
 
 
 def configs(spark, d) -> DataFrame:

@@ -113,6 +113,20 @@ def parse_answer(spark, d):
     )
 
 
+@register("parse_by_dataset", "WITH " + fx.FORMATTED_SQL + f""",
+n AS (SELECT *, (['nq_open', '{A.RAW_DATASETS[0]}', '{A.CHOICE_DATASET}'])[pair_id % 3 + 1] AS dataset FROM formatted)
+SELECT pair_id, dataset,
+       CASE pair_id % 3 WHEN 1 THEN pred_semicolon WHEN 2 THEN upper(substr(string_split(pred_semicolon, ';')[1], 1, 1))
+            ELSE string_split(pred_semicolon, ';')[1] END AS answer
+FROM n""", ("S5", "S2", "S1"))
+def parse_by_dataset(spark, d):
+    """Dispatch on the dataset: raw, multiple choice and default rows in one table."""
+    names = F.array(F.lit("nq_open"), F.lit(A.RAW_DATASETS[0]), F.lit(A.CHOICE_DATASET))
+    f = fx.formatted_preds(spark, d).withColumn("dataset", F.element_at(names, (F.col("pair_id") % 3 + 1).cast("int")))
+    parsed = A.parse_prediction(F.col("pred_semicolon"), F.lit("semicolon"), F.col("dataset"))
+    return f.select("pair_id", "dataset", parsed["answer"].alias("answer"))
+
+
 @register("quote_extract", f"""
 SELECT doc_id,
        array_to_string(list_transform(

@@ -106,7 +106,12 @@ def _fmt_sql(x: str) -> str:
     return f"CASE WHEN {x} IS NULL THEN NULL ELSE printf('%.1f', {x}) END"
 
 
-def _table_sql() -> str:
+_TYPE_SQL = "CASE WHEN NOT starts_with(s.model, 't5-') THEN 'OpenAI' WHEN contains(s.model, 'flan-t5') THEN 'FLAN-T5' ELSE 'T5' END"
+_ATTRIB_SQL = f"CASE WHEN contains(prompt, {D.lit(P.ATTRIBUTION_SENTENCE)}) THEN {D.lit(P.ATTRIBUTION_SENTENCE)} ELSE 'null' END"
+
+
+def _table_sql(binary: bool = False) -> str:
+    label = _ATTRIB_SQL if binary else _strip_sql('prompt', True)
     cells = []
     for ds in R.TABLE_DATASETS:
         cells += [
@@ -120,23 +125,23 @@ def _table_sql() -> str:
                  f"{_fmt_sql(chr(34) + ds + '_metric' + chr(34))} AS \"{ds}_metric_fmt\""]
     disp = D.strip("replace(label, '\\n', ' ')")
     return SUMMARY_SQL + f""",
-base AS (SELECT model, {_strip_sql('prompt', True)} AS label, dataset, "ds-25-overlap-mean" AS ov, {_headline_sql()} AS hm
+base AS (SELECT model, {label} AS label, dataset, "ds-25-overlap-mean" AS ov, {_headline_sql()} AS hm
          FROM summary WHERE dataset IN ({', '.join(D.lit(x) for x in R.TABLE_DATASETS)})),
 piv AS (SELECT model, label, {', '.join(cells)} FROM base GROUP BY model, label),
 dd AS (SELECT *, replace({disp}, '{{{{ QUESTION }}}}', '') AS d FROM piv)
 SELECT * EXCLUDE (d), CASE WHEN d = '' THEN {D.lit(P.NULL_PROMPT_TEXT)} ELSE {D.strip('d')} END AS display,
-       {', '.join(fmts)}
+       {', '.join(fmts)},
+       row_number() OVER (PARTITION BY model ORDER BY "{R.TABLE_DATASETS[0]}_overlap" ASC NULLS LAST, label)::BIGINT AS rank
 FROM dd"""
 
 
-@register("prompt_dataset_table", _table_sql(), ("C12", "E12", "S20", "B17", "B19"))
-def prompt_dataset_table(spark, d):
-    t = R.prompt_dataset_table(_summary(spark, d))
+def _table(spark, d, binary):
+    t = R.prompt_dataset_table(_summary(spark, d), binary=binary)
     cols = ["model", "label"]
     for ds in R.TABLE_DATASETS:
         cols += [F.round(f"{ds}_overlap", 9).alias(f"{ds}_overlap"), F.round(f"{ds}_metric", 9).alias(f"{ds}_metric"),
                  F.col(f"{ds}_n").cast("long").alias(f"{ds}_n")]
-    out = t.select(*cols, "display")
+    out = t.select(*cols, "display", "rank")
     fmts = []
     for ds in R.TABLE_DATASETS:
         for part in ("overlap", "metric"):
@@ -145,45 +150,60 @@ def prompt_dataset_table(spark, d):
     return out.select("*", *fmts)
 
 
+@register("prompt_dataset_table", _table_sql(), ("C12", "E12", "S20", "B17", "B19"))
+def prompt_dataset_table(spark, d):
+    return _table(spark, d, False)
+
+
+@register("attribution_table", _table_sql(binary=True), ("C12", "E12", "B18"))
+def attribution_table(spark, d):
+    """The table with one row for prompts that ask for attribution and one for the others."""
+    return _table(spark, d, True)
+
+
 @register("relative_change", SUMMARY_SQL + f""",
 s AS (SELECT model, dataset,
-             CASE WHEN contains(prompt, {D.lit(P.ATTRIBUTION_SENTENCE)}) THEN 'grounded' ELSE 'null' END AS label,
+             {_ATTRIB_SQL} AS label,
              "ds-25-overlap-mean" AS ov, {_headline_sql()} AS hm FROM summary),
 a AS (SELECT model, dataset,
              avg(CASE WHEN label = 'null' THEN ov END) AS ovn, avg(CASE WHEN label <> 'null' THEN ov END) AS ovg,
              avg(CASE WHEN label = 'null' THEN hm END) AS hmn, avg(CASE WHEN label <> 'null' THEN hm END) AS hmg
-      FROM s GROUP BY model, dataset)
-SELECT model, dataset,
+      FROM s GROUP BY model, dataset),
+c AS (SELECT model, dataset,
        round(CASE WHEN ovn = 0 THEN NULL ELSE (ovg - ovn) / ovn END * 100, 6) AS overlap_change,
        round(CASE WHEN hmn = 0 THEN NULL ELSE (hmg - hmn) / hmn END * 100, 6) AS metric_change
-FROM a""", ("C11", "E11"))
+FROM a)
+SELECT *, CASE WHEN overlap_change IS NOT NULL THEN printf('%.1f', overlap_change) || '%' END AS overlap_change_fmt,
+       CASE WHEN metric_change IS NOT NULL THEN printf('%.1f', metric_change) || '%' END AS metric_change_fmt
+FROM c""", ("C11", "E11", "S20"))
 def relative_change(spark, d):
     r = R.relative_change(_summary(spark, d))
-    return r.select("model", "dataset", F.round("overlap_change", 6).alias("overlap_change"),
-                    F.round("metric_change", 6).alias("metric_change"))
+    r = r.select("model", "dataset", F.round("overlap_change", 6).alias("overlap_change"),
+                 F.round("metric_change", 6).alias("metric_change"))
+    return r.select("*", *[R.format_change(c).alias(f"{c}_fmt") for c in ("overlap_change", "metric_change")])
 
 
 @register("size_curve", SUMMARY_SQL + ",\n" + _dim_sql("dim", R.SIZE_MODEL_MAP, R.SIZE_ORDER) + """,
-j AS (SELECT s.*, d.model_size, d.sort_key,
+j AS (SELECT s.*, d.model_size, d.sort_key, """ + _TYPE_SQL + """ AS model_type,
              CASE WHEN s.prompt = '{{ QUESTION }}' THEN 'Null' ELSE 'Grounded' END AS prompt_type
       FROM summary s JOIN dim d ON s.model = d.model)
-SELECT model_size, sort_key, prompt_type, count(*)::BIGINT AS n, round(avg("ds-25-overlap-mean"), 6) AS overlap,
+SELECT model_type, model_size, sort_key, prompt_type, count(*)::BIGINT AS n, round(avg("ds-25-overlap-mean"), 6) AS overlap,
        round(stddev_samp("ds-25-overlap-mean") / sqrt(count(*)), 6) AS overlap_se, round(2 * avg("ds-25-overlap-std"), 6) AS overlap_2std
-FROM j GROUP BY model_size, sort_key, prompt_type""", ("E9", "D8", "C9"))
+FROM j GROUP BY model_type, model_size, sort_key, prompt_type""", ("E9", "D8", "C9"))
 def size_curve(spark, d):
     c = R.size_curve(_summary(spark, d), R.dimension(spark, R.SIZE_MODEL_MAP, R.SIZE_ORDER))
-    return c.select("model_size", "sort_key", "prompt_type", F.col("n").cast("long"),
+    return c.select("model_type", "model_size", "sort_key", "prompt_type", F.col("n").cast("long"),
                     *[F.round(x, 6).alias(x) for x in ("overlap", "overlap_se", "overlap_2std")])
 
 
 @register("model_family_compare", SUMMARY_SQL + ",\n" + _dim_sql("dim", R.COMPARE_MODEL_MAP, R.COMPARE_ORDER) + """,
-j AS (SELECT s.*, CASE WHEN contains(s.model, 'flan-t5') THEN 'FLAN-T5' ELSE 'T5' END AS family,
+j AS (SELECT s.*, """ + _TYPE_SQL + """ AS family,
              CASE WHEN contains(s.prompt, 'Respond to this question using') THEN 'Grounded' ELSE 'Null' END AS prompt_type
       FROM summary s JOIN dim d ON s.model = d.model WHERE d.model_size = 'xxl')
 SELECT family, prompt_type, count(*)::BIGINT AS n,
        round(avg("ds-25-overlap-mean"), 6) AS overlap, round(stddev_samp("ds-25-overlap-mean") / sqrt(count(*)), 6) AS overlap_se,
        round(avg("rougel-mean"), 6) AS rougel, round(stddev_samp("rougel-mean") / sqrt(count(*)), 6) AS rougel_se
-FROM j GROUP BY family, prompt_type""", ("E10", "D4"))
+FROM j WHERE family <> 'OpenAI' GROUP BY family, prompt_type""", ("E10", "D4"))
 def model_family_compare(spark, d):
     c = R.family_compare(_summary(spark, d), R.dimension(spark, R.COMPARE_MODEL_MAP, R.COMPARE_ORDER))
     return c.select("family", "prompt_type", F.col("n").cast("long"),

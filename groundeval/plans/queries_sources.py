@@ -93,3 +93,52 @@ def read_keyed_json(spark, d):
     W.write_keyed_json(doc, path, "doc_id")
     vt = T.StructType([T.StructField("QUESTION", T.StringType()), T.StructField("final_decision", T.StringType())])
     return RD.read_keyed_json(spark, path, vt, per_line=True)
+
+
+@register("read_tsv", "WITH " + QR.FLAT_SQL + """
+SELECT run_id, dataset, model, "ds-25-overlap", em FROM flat""", ("A3", "A11"))
+def read_tsv(spark, d):
+    """The combined per-run table, written as TSV and read back whole."""
+    flat = QR._flat(spark, d).select("run_id", "dataset", "model", "ds-25-overlap", "em")
+    path = _scratch(spark, "combined")
+    W.write_combined(flat, path)
+    return RD.read_tsv(spark, path, flat.schema)
+
+
+@register("load_datasets", "WITH " + fx.PAIRS_SQL + """
+SELECT 'ELI5_dev' AS dataset, CAST(pair_id AS VARCHAR) AS id, question AS title, golds AS answers, [response] AS provenance, NULL::BIGINT AS popularity FROM pairs
+UNION ALL SELECT 'nq_popularity', CAST(pair_id AS VARCHAR), question, golds, [response], turn::BIGINT FROM pairs
+UNION ALL SELECT 'nq_open', 'n/a', question, golds, ['empty n/a'], NULL FROM pairs
+UNION ALL SELECT 'trivia_qa', CAST(pair_id AS VARCHAR), question, golds, ['empty n/a'], NULL FROM pairs
+UNION ALL SELECT 'jhu-clsp/SARA', CAST(pair_id AS VARCHAR), 'Premise: ' || response || chr(10) || 'Hypothesis: ' || question, [answer], ['empty n/a'], NULL FROM pairs
+UNION ALL SELECT 'aldrinc/medicationqa', CAST(pair_id AS VARCHAR), question, [response], ['empty n/a'], NULL FROM pairs""", ("A7", "M16"))
+def load_datasets(spark, d):
+    """Six datasets in their stored formats, read and adapted by name through the registry."""
+    from groundeval.operators.datasets import load_datasets as load
+    from groundeval.registry import BY_NAME
+
+    p, root = fx.pairs(spark, d), _scratch(spark, "registry")
+    at = lambda name: f"{root}/{BY_NAME[name].location}"
+    pid = F.col("pair_id").cast("string").alias("id")
+    W.write_jsonl(p.select(pid, F.col("question").alias("title"), F.col("golds").alias("answers"), F.array("response").alias("provenance")), at("ELI5_dev"))
+    W.write_table(p.select(F.col("pair_id").alias("_c0"), pid, F.col("question").alias("title"), F.to_json("golds").alias("answers"),
+                           F.to_json(F.array("response")).alias("provenance"), F.col("turn").alias("popularity")), at("nq_popularity"), fmt="csv")
+    W.write_table(p.select("question", F.col("golds").alias("answer")), at("nq_open"))
+    W.write_table(p.select(F.col("pair_id").alias("question_id"), "question", F.struct(F.col("golds").alias("aliases")).alias("answer")), at("trivia_qa"))
+    W.write_table(p.select(pid, F.col("response").alias("text"), "question", "answer"), at("jhu-clsp/SARA"))
+    W.write_table(p.select(F.col("pair_id").alias("ordinal"), F.col("question").alias("Question"), F.col("response").alias("Answer")), at("aldrinc/medicationqa"))
+    names = ["ELI5_dev", "nq_popularity", "nq_open", "trivia_qa", "jhu-clsp/SARA", "aldrinc/medicationqa"]
+    return load(spark, names, root).select("dataset", "id", "title", "answers", "provenance", "popularity")
+
+
+@register("read_registry", "WITH " + fx.PAIRS_SQL + """
+SELECT 'qa' AS dataset, CAST(pair_id AS VARCHAR) AS id, question AS title FROM pairs
+UNION ALL SELECT 'dialogue', CAST(pair_id AS VARCHAR), response FROM pairs""", "A7")
+def read_registry(spark, d):
+    """Two groups of name and path; the second group's path wins for a name in both."""
+    p, root = fx.pairs(spark, d), _scratch(spark, "groups")
+    pid = F.col("pair_id").cast("string").alias("id")
+    W.write_jsonl(p.select(pid, F.col("question").alias("title")), f"{root}/a.jsonl")
+    W.write_jsonl(p.select(pid, F.col("response").alias("title")), f"{root}/b.jsonl")
+    groups = [{"qa": f"{root}/a.jsonl", "dialogue": f"{root}/a.jsonl"}, {"dialogue": f"{root}/b.jsonl"}]
+    return RD.read_registry(spark, groups, "id string, title string").select("dataset", "id", "title")

@@ -83,9 +83,12 @@ def summary_mean_std(flat: DataFrame, by=("model", "dataset", "prompt"), metrics
     return flat.groupBy(*by).agg(*aggs, F.count(F.lit(1)).alias("n_runs"))
 
 
-def sort_by_overlap(summary: DataFrame) -> DataFrame:
-    """The summary files' order: overlap mean descending."""
-    return summary.orderBy(F.desc_nulls_last("`ds-25-overlap-mean`"))
+def sort_by_overlap(summary: DataFrame, file=("model", "dataset")) -> DataFrame:
+    """The summary files' order: overlap mean descending; ``file_rank`` is a row's place in
+    its file (ties by prompt)."""
+    order = F.desc_nulls_last("`ds-25-overlap-mean`")
+    place = Window.partitionBy(*file).orderBy(order, "prompt")
+    return summary.withColumn("file_rank", F.row_number().over(place).cast("long")).orderBy(order)
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str = "model") -> DataFrame:

@@ -83,7 +83,7 @@ def _rounded(df, skip=()):
                        for c, t in df.dtypes])
 
 
-@register("summary_mean_std", SUMMARY_SQL + f"\nSELECT model, dataset, prompt, {_SUM_OUT}, n_runs FROM summary", ("E5", "D7"))
+@register("summary_mean_std", SUMMARY_SQL + f"\nSELECT model, dataset, prompt, {_SUM_OUT}, n_runs, row_number() OVER (PARTITION BY model, dataset ORDER BY round(\"ds-25-overlap-mean\", 9) DESC NULLS LAST, prompt)::BIGINT AS file_rank FROM summary", ("E5", "D7"))
 def summary_mean_std(spark, d):
     return R.sort_by_overlap(_rounded(_summary(spark, d)))
 

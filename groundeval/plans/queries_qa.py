@@ -188,25 +188,25 @@ _PTR = T.StructType([
 
 
 def _kilt_raw(spark, d):
-    """Benchmark items as KILT rows: pointers into the document pages (see FIXTURES)."""
-    b = fx.table(spark, d, "benchmark")
-    i = F.col("item_id")
+    """Every document as a KILT row with pointers to paragraphs of its own page and the next
+    one (the last page has no next; paragraph numbers go past the end of short pages)."""
+    b = fx.table(spark, d, "documents")
+    i = F.col("doc_id")
     sc = F.when(i % 5 == 0, F.lit(None)).otherwise(i % 7).cast("int")
+    par = (i % 4).cast("int")
     p1 = F.struct(
-        F.when(i == 13, F.lit(100000)).otherwise(i % 100).cast("string").alias("wikipedia_id"),
-        F.when(i % 7 == 0, F.lit("wrong title")).otherwise(F.concat(F.lit("src"), (i % 100 % 20).cast("string"))).alias("title"),
-        F.lit(0).alias("start_paragraph_id"),
-        F.when(i % 9 == 4, F.lit(1)).otherwise(F.lit(0)).alias("end_paragraph_id"),
+        i.cast("string").alias("wikipedia_id"),
+        F.when(i % 7 == 0, F.lit("wrong title")).otherwise(F.col("source")).alias("title"),
+        par.alias("start_paragraph_id"), F.when(i % 9 == 4, par + 1).otherwise(par).alias("end_paragraph_id"),
         sc.alias("start_character"), (sc + 20).alias("end_character"),
     ).cast(_PTR)
     p2 = F.struct(
-        (i * 7 % 100).cast("string").alias("wikipedia_id"),
-        F.concat(F.lit("src"), (i * 7 % 100 % 20).cast("string")).alias("title"),
+        (i + 1).cast("string").alias("wikipedia_id"), F.col("source").alias("title"),
         F.lit(0).alias("start_paragraph_id"), F.lit(0).alias("end_paragraph_id"),
         F.lit(None).cast("int").alias("start_character"), F.lit(None).cast("int").alias("end_character"),
     ).cast(_PTR)
     item_t = T.StructType([T.StructField("answer", T.StringType()), T.StructField("provenance", T.ArrayType(_PTR))])
-    a1, a2 = F.col("text"), F.concat(F.lit("Re: "), "text")
+    a1, a2 = F.col("source"), F.concat(F.lit("Re: "), "source")
     full = F.array(
         F.struct(a1.alias("answer"), F.array(p1, p2).alias("provenance")).cast(item_t),
         F.struct(a2.alias("answer"), F.array().cast(T.ArrayType(_PTR)).alias("provenance")).cast(item_t),
@@ -226,21 +226,20 @@ def _slices(spark, d):
     return PV.slice_pointers(PV.explode_pointers(_kilt_raw(spark, d)), _pages(spark, d))
 
 
-_KILT_SQL = f"""
+_KILT_SQL = """
 WITH kilt AS (
-  SELECT CAST(item_id AS VARCHAR) AS id, text AS input, item_id,
-         text AS a1, 'Re: ' || text AS a2
-  FROM benchmark
+  SELECT CAST(doc_id AS VARCHAR) AS id, text AS input, doc_id AS item_id, source, source AS a1, 'Re: ' || source AS a2
+  FROM documents
 ),
 ptrs AS (
-  SELECT id, 0 AS oi, 0 AS pi, CAST(CASE WHEN item_id = 13 THEN 100000 ELSE item_id % 100 END AS VARCHAR) AS wikipedia_id,
-         CASE WHEN item_id % 7 = 0 THEN 'wrong title' ELSE 'src' || CAST(item_id % 100 % 20 AS VARCHAR) END AS title,
-         0 AS spar, CASE WHEN item_id % 9 = 4 THEN 1 ELSE 0 END AS epar,
+  SELECT id, 0 AS oi, 0 AS pi, id AS wikipedia_id,
+         CASE WHEN item_id % 7 = 0 THEN 'wrong title' ELSE source END AS title,
+         item_id % 4 AS spar, CASE WHEN item_id % 9 = 4 THEN item_id % 4 + 1 ELSE item_id % 4 END AS epar,
          CASE WHEN item_id % 5 = 0 THEN NULL ELSE item_id % 7 END AS sc,
          CASE WHEN item_id % 5 = 0 THEN NULL ELSE item_id % 7 + 20 END AS ec
   FROM kilt WHERE item_id % 11 <> 0
   UNION ALL
-  SELECT id, oi, pi, CAST(item_id * 7 % 100 AS VARCHAR), 'src' || CAST(item_id * 7 % 100 % 20 AS VARCHAR), 0, 0, NULL, NULL
+  SELECT id, oi, pi, CAST(item_id + 1 AS VARCHAR), source, 0, 0, NULL, NULL
   FROM kilt, (VALUES (0, 1), (2, 0)) v(oi, pi) WHERE item_id % 11 <> 0
 ),
 pages AS (SELECT doc_id AS page_id, source AS page_title, string_split(text, chr(10)) AS ptext FROM documents),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +53,69 @@ class WordTable(dict):
             self.clear()
         value = self[word] = self.make(word)
         return value
+
+
+_BASE = 0x9E3779B97F4A7C15  # an odd multiplier, so that it has an inverse modulo 2^64
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_PIECE = 1 << 20
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class WordHasher:
+    """64-bit hashes of a text's words (runs of bytes other than ASCII white space), worked
+    out for whole texts at a time: prefix sums of ``byte * base^-i`` give every word's
+    polynomial, whatever its place.  Texts go through in pieces of about a megabyte."""
+
+    def __init__(self):
+        self._grow(1 << 12)
+
+    def _grow(self, n: int) -> None:
+        self.up, self.down = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+
+    def __call__(self, data: bytes) -> np.ndarray:
+        return self.spans(data)[0]
+
+    def spans(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the words, and where each begins and ends."""
+        parts, at = [], 0
+        while at < len(data) or not parts:
+            end = min(at + _PIECE, len(data))
+            while end < len(data) and not _SPACE[data[end]]:
+                end += 1
+            h, start, stop = self._piece(data[at:end])
+            parts.append((h, start + at, stop + at))
+            at = end
+        return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all texts' words in a row, and how many each text has."""
+        data = b"\n".join(texts)
+        h, start, _ = self.spans(data)
+        first = np.cumsum([0] + [len(t) + 1 for t in texts])
+        return h, np.diff(np.searchsorted(start, first))
+
+    def _piece(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = np.frombuffer(data, dtype=np.uint8)
+        n = len(raw)
+        if n >= len(self.up):
+            self._grow(2 * n)
+        space = _SPACE[raw]
+        edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+        start, end = edge[::2], edge[1::2]
+        sums = np.empty(n + 1, dtype=np.uint64)
+        sums[0] = 0
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.down[:n], dtype=np.uint64, out=sums[1:])
+        return mix((sums[end] - sums[start]) * self.up[end]), start, end
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit hashes."""
+    x = x * np.uint64(_BASE)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(32))

@@ -7,8 +7,8 @@ two documents share ``window`` words, whatever the two positions, some shift bel
 ``period`` brings both onto the cover, so they share an aligned anchor inside the match.
 
 1. Anchors that occur in more than one document are found by one aggregation.
-2. They are extended: every window around a shared anchor is hashed (128 bits, from two
-   independent word hashes), its smallest document is found, and a window that also
+2. They are extended: every window around a shared anchor is hashed (128 bits, two
+   polynomials over the word hashes), its smallest document is found, and a window that also
    starts in a smaller document is marked.
 3. The words that marked windows cover are removed.
 
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundeval.llm.common import WordTable, as_bytes, cut_lineage, shuffle_partitions
+from groundeval.llm.common import WordHasher, as_bytes, cut_lineage, shuffle_partitions
 
 #: Perfect difference sets, smallest covers of their period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -64,10 +64,6 @@ def window_hashes(words: np.ndarray, width: int, base: int) -> np.ndarray:
         size *= 2
 
 
-def _hashed(words: list[bytes], table: WordTable) -> np.ndarray:
-    return np.fromiter((table[w] for w in words), dtype=np.uint64, count=len(words))
-
-
 def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64), pa.int64())
 
@@ -80,16 +76,16 @@ def shared_anchors(texts: DataFrame, window: int, period: int) -> DataFrame:
     cover[list(COVERS[period])] = True
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(xxhash.xxh64_intdigest)
+        hasher = WordHasher()
         for b in batches:
             ids, rows, poss, hashes = [], [], [], []
             for i, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                words = as_bytes(text).split()
+                words = hasher(as_bytes(text))
                 if len(words) < window:
                     continue
-                h = window_hashes(_hashed(words, table), width, BASES[0])
+                h = window_hashes(words, width, BASES[0])
                 at = np.flatnonzero(cover[np.arange(len(h)) % period])
-                whole = np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], dtype=np.uint64)
+                whole = np.array([xxhash.xxh64_intdigest(words.tobytes(), seed=len(words))], dtype=np.uint64)
                 poss.append(np.append(at, -1).astype(np.int32))
                 hashes.append(np.append(h[at], whole))
                 ids.append(np.full(len(at) + 1, i, dtype=np.int64))
@@ -129,12 +125,11 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, window: int,
     texts = texts.repartition(parts, "id", "row")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(xxhash.xxh3_128_intdigest)
-        low = (1 << 64) - 1
+        hasher = WordHasher()
         for b in batches:
             for i, row, text, at in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                words = as_bytes(text).split()
-                n = len(words) - window + 1
+                h = hasher(as_bytes(text))
+                n = len(h) - window + 1
                 pos = np.array(at, dtype=np.int64)
                 step = np.zeros(n + 1, dtype=np.int64)
                 np.add.at(step, np.minimum(np.maximum(pos - period + 1, 0), n), 1)
@@ -142,9 +137,8 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, window: int,
                 starts = np.flatnonzero(np.cumsum(step)[:n] > 0)
                 if not len(starts):
                     continue
-                both = [table[w] for w in words]
-                h1 = window_hashes(np.array([x & low for x in both], dtype=np.uint64), window, BASES[0])
-                h2 = window_hashes(np.array([x >> 64 for x in both], dtype=np.uint64), window, BASES[1])
+                h1 = window_hashes(h, window, BASES[0])
+                h2 = window_hashes((h ^ (h >> np.uint64(31))) * np.uint64(BASES[0]), window, BASES[1])
                 k = len(starts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(k, i)), pa.array(np.full(k, row)), pa.array(starts.astype(np.int32)), _signed(h1[starts]), _signed(h2[starts])],

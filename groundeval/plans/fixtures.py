@@ -39,9 +39,13 @@ def corpus(spark, d) -> DataFrame:
 # A user turn t and the assistant turn t+1 of the same conversation form one pair.
 # answer      = the first line of the assistant text (all of it if it has one line)
 # explanation = the assistant text
-# golds       = [user text, assistant text]; every fourth turn also the answer
+# golds       = [user text, assistant text with "an" spelt "un"]; every fourth turn also the answer
 # pair_id     = conv_id * 1000 + t
 
+def _respelt():
+    return F.replace(F.col("response"), F.lit("an"), F.lit("un"))
+
+
 def pairs(spark, d) -> DataFrame:
     c = table(spark, d, "conversations")
     u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
@@ -57,8 +61,8 @@ def pairs(spark, d) -> DataFrame:
         "response",
         F.substring_index("response", "\n", 1).alias("answer"),
         F.col("response").alias("explanation"),
-        F.when(F.col("turn") % 4 == 0, F.array("question", "response", F.substring_index("response", "\n", 1)))
-        .otherwise(F.array("question", "response")).alias("golds"),
+        F.when(F.col("turn") % 4 == 0, F.array("question", _respelt(), F.substring_index("response", "\n", 1)))
+        .otherwise(F.array("question", _respelt())).alias("golds"),
     )
 
 
@@ -68,7 +72,8 @@ pairs AS (
          u.text AS question, a.text AS response,
          string_split(a.text, chr(10))[1] AS answer,
          a.text AS explanation,
-         CASE WHEN u.turn % 4 = 0 THEN [u.text, a.text, string_split(a.text, chr(10))[1]] ELSE [u.text, a.text] END AS golds
+         CASE WHEN u.turn % 4 = 0 THEN [u.text, replace(a.text, 'an', 'un'), string_split(a.text, chr(10))[1]]
+              ELSE [u.text, replace(a.text, 'an', 'un')] END AS golds
   FROM conversations u JOIN conversations a
     ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant'

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundeval.operators.ordinal import dense_ordinal
+
 # The two bin presets of the reference (right-closed intervals).
 SAMPLING_BINS = [(-1, 0), (1, 10), (10, 100), (100, 1000), (1000, 10000)]
 PLOTTING_BINS = [(-1, 0), (0, 10), (10, 100), (100, 1000), (1000, 10000)]
@@ -63,3 +65,21 @@ def curve(df: DataFrame, by, score: str) -> DataFrame:
         F.avg(score).alias("mean"),
         (F.stddev_samp(score) / F.sqrt(F.count(F.lit(1)))).alias("se"),
     )
+
+
+def popularity_set(splits: list[DataFrame], *, key: str, title: str, answers: Column, popularity: str = "popularity",
+                   id_col: str | None = None, cap: int = SAMPLE_CAP, seed: int = SAMPLE_SEED) -> DataFrame:
+    """Evaluation set of a capped sample per popularity bin over the union of ``splits``:
+    ``id, title, answers, provenance (''), popularity``.
+
+    ``key`` identifies a row over all splits and seeds the sample.  ``id`` is the column
+    ``id_col`` (question ids of the trivia shape) or, without one, the row's position in
+    (bin, sample) order (the open shape)."""
+    whole = splits[0]
+    for s in splits[1:]:
+        whole = whole.unionByName(s)
+    got = stratified_sample(bin_rows(whole, popularity), key, cap, seed)
+    if id_col is None:
+        got = dense_ordinal(got, [], ["bin_id", "rn"], name="_id")
+    return got.select(F.col(id_col or "_id").alias("id"), F.col(title).cast("string").alias("title"), answers.alias("answers"),
+                      F.lit("").alias("provenance"), F.col(popularity).cast("int").alias("popularity"))

@@ -104,6 +104,15 @@ def code_task_qa(df: DataFrame) -> DataFrame:
     return df.toDF(*CODE_TASK_COLS)
 
 
+def biomedical_qa(df: DataFrame, id_col="id", question="QUESTION", contexts="CONTEXTS", long_answer="LONG_ANSWER",
+                  decision="final_decision", label="label") -> DataFrame:
+    """Test-set projection: the decision as the answer, the contexts joined as provenance."""
+    return df.select(
+        F.col(id_col).cast("string").alias("id"), F.col(question).alias("title"), F.array(F.col(decision)).alias("answers"),
+        F.array(F.array_join(contexts, " ")).alias("provenance"), F.col(long_answer).alias("long_answer"), F.col(label).alias("label"),
+    )
+
+
 def passthrough_qa(df: DataFrame, id_col="id", title="title", answers="answers", provenance="provenance") -> DataFrame:
     """Keep the split as is, lifting ``answers.text`` when answers is a struct."""
     a = F.col(answers)

@@ -92,8 +92,8 @@ def sort_by_overlap(summary: DataFrame, file=("model", "dataset")) -> DataFrame:
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str = "model") -> DataFrame:
-    """Broadcast left join against a fixed dimension; ``matched`` marks misses for audit."""
-    return df.join(F.broadcast(dim.withColumn("matched", F.lit(True))), key, "left").withColumn(
+    """Left join against a dimension; ``matched`` marks misses for audit."""
+    return df.join(dim.withColumn("matched", F.lit(True)), key, "left").withColumn(
         "matched", F.coalesce("matched", F.lit(False))
     )
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundeval.operators import popularity as PO
-from groundeval.operators.ordinal import dense_ordinal
 from groundeval.plans import fixtures as fx
 from groundeval.plans.catalog import register
 
@@ -70,10 +69,27 @@ SELECT (row_number() OVER (ORDER BY bin_id, rn) - 1)::BIGINT AS id, CAST(id AS V
        [CAST(o_custkey AS VARCHAR)] AS answers, '' AS provenance, popularity::INT AS popularity
 FROM s WHERE rn <= {PO.SAMPLE_CAP}""", "B14")
 def popularity_set(spark, d):
-    s = _sample(spark, d).select(F.col("id").alias("src_id"), "popularity", "o_custkey", "bin_id", "rn")
-    s = dense_ordinal(s, [], ["bin_id", "rn"], name="id")
-    return s.select("id", F.col("src_id").cast("string").alias("title"), F.array(F.col("o_custkey").cast("string")).alias("answers"),
-                    F.lit("").alias("provenance"), F.col("popularity").cast("int").alias("popularity"))
+    return PO.popularity_set(_splits(spark, d), key="qid", title="qid", answers=F.array(F.col("o_custkey").cast("string")))
+
+
+def _splits(spark, d):
+    """Orders as a train and a dev split (even and odd keys)."""
+    p = popularity_table(spark, d).withColumnRenamed("id", "qid")
+    return [p.where(F.col("qid") % 2 == 0), p.where(F.col("qid") % 2 == 1)]
+
+
+@register("popularity_set_trivia", _SAMPLE_SQL + f"""
+SELECT 'q' || CAST(id AS VARCHAR) AS id, CAST(id AS VARCHAR) AS title, [CAST(o_custkey AS VARCHAR), 'alias'] AS answers,
+       '' AS provenance, popularity::INT AS popularity
+FROM s WHERE rn <= {PO.SAMPLE_CAP}""", "B14")
+def popularity_set_trivia(spark, d):
+    """The nested-alias shape, with the questions' own ids."""
+    shaped = [
+        s.withColumn("question_id", F.concat(F.lit("q"), F.col("qid").cast("string")))
+        .withColumn("answer", F.struct(F.array(F.col("o_custkey").cast("string"), F.lit("alias")).alias("aliases")))
+        for s in _splits(spark, d)
+    ]
+    return PO.popularity_set(shaped, key="qid", title="qid", answers=F.col("answer.aliases"), id_col="question_id")
 
 
 @register("popularity_curve", "WITH " + POP_SQL + f""",

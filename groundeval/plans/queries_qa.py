@@ -163,11 +163,7 @@ SELECT i.id, i.question AS title, [i.final_decision] AS answers, [array_to_strin
        i.long_answer, t.label
 FROM items i JOIN truth t ON i.id = t.id""", ("B10", "C4"))
 def pubmed_test_set(spark, d):
-    j = PV.held_out(_pubmed_items(spark, d), _truth(spark, d))
-    return j.select(
-        "id", F.col("QUESTION").alias("title"), F.array("final_decision").alias("answers"),
-        F.array(F.array_join("CONTEXTS", " ")).alias("provenance"), F.col("LONG_ANSWER").alias("long_answer"), "label",
-    )
+    return Q.biomedical_qa(PV.held_out(_pubmed_items(spark, d), _truth(spark, d)))
 
 
 @register("label_conflicts", _PUB_SQL + """

@@ -13,12 +13,11 @@ similarity of an order-keeping alignment.  Since that allows only
 computed in a band of that half-width, bit-parallel; it is skipped where the number of
 common shingles already rules the pair out, or where they are unique and in one order.
 
-Pairs.  Equal texts are one node.  In each bucket the smallest node is compared to the
-others; then components are updated, buckets whose nodes are all in one component are done,
-the nodes that have been compared to the whole bucket leave it, and the next 2, 4, 8 ...
-smallest nodes are compared to those in other components.  That ends with every pair of a
-bucket either compared or in one component, so no link found by a bucket is lost, while a
-group of thousands of copies costs one comparison each.
+Pairs.  Equal texts are one node.  In each bucket the node that shares most buckets with
+others is compared to the rest, so a group of thousands of copies costs one comparison
+each, and components are formed.  Centres whose nodes are all in one component are settled.
+Around the others, nodes of different components are compared in blocks, exactly
+(``block_links``), so no link between nodes that share a bucket is lost.
 """
 
 from __future__ import annotations
@@ -31,35 +30,30 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundeval.llm.common import WordTable, as_bytes, cut_lineage, fresh
+from groundeval.llm.common import WordHasher, as_bytes, cut_lineage, fresh, mix
 from groundeval.llm.components import connected
+from groundeval.llm.substring_dedup import BASES, window_hashes
 
 U64 = np.uint64
-MIX = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))  # odd multipliers of the hash mix
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = x * MIX[0]
-    x = (x ^ (x >> U64(29))) * MIX[1]
-    return x ^ (x >> U64(32))
+def words_of(text: str | None, hasher: WordHasher) -> np.ndarray:
+    """64-bit hashes of the text's words: runs of characters but ASCII white space, A-Z
+    lower-cased."""
+    return hasher(as_bytes(text).lower())
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Runs of characters but ASCII white space, A-Z lower-cased."""
-    return as_bytes(text).lower().split()
+def short_hashes(words: np.ndarray) -> np.ndarray:
+    """The 32 bits of each word hash that shingles are made of."""
+    return (words >> U64(32)).astype(np.uint32)
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all ``k`` consecutive word hashes; a shorter text is one shingle, an empty
     one none."""
-    words = words.astype(U64)
     if not len(words):
-        return words
-    k = min(k, len(words))
-    out = np.zeros(len(words) - k + 1, dtype=U64)
-    for i in range(k):
-        out = mix(out + words[i : len(words) - k + 1 + i] + U64(i + 1))
-    return out
+        return np.zeros(0, dtype=U64)
+    return mix(window_hashes(words.astype(U64), min(k, len(words)), BASES[0]))
 
 
 def label_occurrences(sh: np.ndarray) -> np.ndarray:
@@ -71,7 +65,7 @@ def label_occurrences(sh: np.ndarray) -> np.ndarray:
         return mix(sh)
     rank = np.arange(len(s)) - np.repeat(first, np.diff(np.append(first, len(s))))
     out = np.empty_like(sh)
-    out[order] = mix(s + rank.astype(U64) * MIX[0])
+    out[order] = mix(s + mix(rank.astype(U64)))
     return out
 
 
@@ -142,13 +136,13 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str, k: int, sample: in
     """``(id, digest, n, keys)`` per row: digest of the words, shingles, bucket keys."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(xxhash.xxh32_intdigest)
+        hasher = WordHasher()
         for b in batches:
             digests, sizes, keys = [], [], []
-            for text in b.column(1).to_pylist():
-                words = words_of(text)
-                digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                sh = shingles(np.fromiter((table[w] for w in words), dtype=np.uint32, count=len(words)), k)
+            for text in b.column(1):
+                words = words_of(text.as_py(), hasher)
+                digests.append(xxhash.xxh3_128_digest(words.tobytes()))
+                sh = shingles(short_hashes(words), k)
                 sizes.append(len(sh))
                 got = order_keys(sh, sample, sketches, 1)
                 if len(sh) < short:
@@ -167,13 +161,13 @@ def word_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, digest, words)``: the word hashes (32 bits each) of each row's text."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(xxhash.xxh32_intdigest)
+        hasher = WordHasher()
         for b in batches:
             digests, words = [], []
-            for text in b.column(1).to_pylist():
-                found = words_of(text)
-                digests.append(xxhash.xxh3_128_digest(b" ".join(found)))
-                words.append(np.fromiter((table[w] for w in found), dtype=np.uint32, count=len(found)).tobytes())
+            for text in b.column(1):
+                found = words_of(text.as_py(), hasher)
+                digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+                words.append(short_hashes(found).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(words, pa.binary())], names=["id", "digest", "words"])
 
     flat = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -186,8 +180,8 @@ def verified(pairs: DataFrame, words: DataFrame, k: int, threshold: float) -> Da
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = (shingles(np.frombuffer(t, dtype=np.uint32), k) for t in (x, y))
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (shingles(np.frombuffer(t.as_buffer(), dtype=np.uint32), k) for t in (x, y))
                 ok.append(similarity(x, y, threshold) >= threshold)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -197,6 +191,72 @@ def verified(pairs: DataFrame, words: DataFrame, k: int, threshold: float) -> Da
     return both.mapInArrow(check, "a bigint, b bigint")
 
 
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Common shingles of every ``x`` with every ``y`` (no repeats inside a list), by matrix
+    products over slices of the vocabulary."""
+    out = np.zeros((len(xs), len(ys)), dtype=np.float32)
+    vocab = np.unique(np.concatenate(xs))
+    sides = []
+    for docs in (xs, ys):
+        rows, flat = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate(docs)
+        at = np.searchsorted(vocab, flat)
+        known = vocab[np.minimum(at, len(vocab) - 1)] == flat
+        order = np.argsort(at[known], kind="stable")
+        sides.append((rows[known][order], at[known][order]))
+    for lo in range(0, len(vocab), 4096):
+        parts = []
+        for docs, (rows, at) in zip((xs, ys), sides, strict=True):
+            i, j = np.searchsorted(at, (lo, lo + 4096))
+            part = np.zeros((len(docs), min(4096, len(vocab) - lo)), dtype=np.float32)
+            part[rows[i:j], at[i:j] - lo] = 1.0
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def block_links(stars: DataFrame, words: DataFrame, k: int, threshold: float, block: int = 256) -> DataFrame:
+    """Links ``(a, b)`` between nodes of different labels around one centre, in blocks.
+
+    ``stars(at, node, n, label)`` lists each centre's nodes.  Those outside the centre's most
+    frequent label, in blocks of about ``block``, meet all its nodes, in blocks; a task holds
+    two blocks, finds all overlaps by matrix products and aligns the pairs that can be
+    alike.  No pair becomes a row, a label of thousands of nodes is never compared to
+    itself, and one link between two labels in a task is enough."""
+    sizes = stars.groupBy("at", "label").agg(F.count("*").alias("c"))
+    sizes = sizes.groupBy("at").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    sizes = sizes.where("all > most")
+    n_few, n_all = F.ceil((F.col("all") - F.col("most")) / block), F.ceil(F.col("all") / block)
+    rows = stars.join(sizes, "at").withColumn("few_n", n_few).withColumn("all_n", n_all)
+    few = rows.where("label != major").withColumn("left", F.pmod(F.xxhash64("node"), F.col("few_n")))
+    few = few.withColumn("right", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("all_n") - 1))).withColumn("side", F.lit(0))
+    every = rows.withColumn("right", F.pmod(F.xxhash64("node", F.lit(1)), F.col("all_n")))
+    every = every.withColumn("left", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("few_n") - 1))).withColumn("side", F.lit(1))
+    cols = ["at", "left", "right", "side", "node", "label"]
+    met = few.select(*cols).unionByName(every.select(*cols)).join(words, "node")
+
+    def compare(group):
+        side = group["side"].to_numpy()
+        node, label = group["node"].to_numpy(), group["label"].to_numpy()
+        seqs = [shingles(np.frombuffer(w.as_buffer(), dtype=np.uint32), k) for w in group["words"]]
+        bags = [label_occurrences(x) for x in seqs]
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        links = []
+        if len(x) and len(y) and sum(len(bags[i]) for i in x):
+            size = np.array([len(b) for b in bags], dtype=np.float32)
+            common = overlaps([bags[i] for i in x], [bags[j] for j in y])
+            alike = common >= threshold * (size[x][:, None] + size[y][None, :] - common) - 1e-3
+            alike &= label[x][:, None] != label[y][None, :]
+            done = set()
+            for i, j in zip(*np.nonzero(alike), strict=True):
+                a, b = x[i], y[j]
+                if (label[a], label[b]) not in done and similarity(seqs[a], seqs[b], threshold) >= threshold:
+                    done.add((label[a], label[b]))
+                    links.append((node[a], node[b]))
+        return pa.table({"a": pa.array([v[0] for v in links], pa.int64()), "b": pa.array([v[1] for v in links], pa.int64())})
+
+    return met.groupBy("at", "left", "right").applyInArrow(compare, "a bigint, b bigint")
+
+
 def near_classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -224,50 +284,35 @@ def near_classes(
     of_row = rows.select("id", "digest", "row").join(nodes, "digest")
     reps = rows.join(nodes.select(F.col("node").alias("row")), "row")
     keyed = reps.select(F.explode("keys").alias("key"), F.col("row").alias("node"), "n")
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("centre")).where("c > 1")
-    active = cut_lineage(keyed.join(crowded.drop("c"), "key"))
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    active = keyed.join(crowded, "key")
+    # a bucket's centre is its node with the most company in all its buckets: of edited copies
+    # that is the one closest to the others
+    company = active.groupBy("node").agg(F.sum("c").alias("company"))
+    active = cut_lineage(active.join(company, "node").select("key", "node", "n", "company"))
+    best = active.groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("last"))).alias("best")).select("key", (-F.col("best.last")).alias("centre"))
+    active = active.drop("company").join(best, "key")  # key, node, n, centre
     wanted = active.select("node").distinct()
     texts = reps.select("id", "digest", F.col("row").alias("node")).join(wanted, "node")
     words = word_table(docs, id_col, text_col).withColumnsRenamed({"id": "wid", "digest": "wd"})
     words = words.join(texts, F.col("wid").eqNullSafe(F.col("id")) & (F.col("wd") == F.col("digest")))
     words = cut_lineage(words.dropDuplicates(["id", "digest", "node"]).select("node", "words"))
 
-    centres = active.select("key", F.col("centre").alias("at")).distinct()
-    sizes = active.select(F.col("node").alias("at"), F.col("n").alias("at_n")).distinct()
-    active = active.drop("centre").withColumn("label", F.col("node"))
-    links = tested = labels = None
-    turn = 0
-    while True:
-        centres = centres.join(sizes, "at")
-        if labels is not None:
-            centres = centres.join(labels.withColumnsRenamed({"node": "at", "label": "at_label"}), "at", "left")
-            centres = centres.withColumn("at_label", F.coalesce("at_label", "at"))
-        else:
-            centres = centres.withColumn("at_label", F.col("at"))
-        pairs = (
-            active.join(centres, "key")
-            .where("node != at and label != at_label")
-            .where(F.least("n", "at_n") >= threshold * F.greatest("n", "at_n"))
-            .select(F.least("node", "at").alias("a"), F.greatest("node", "at").alias("b"))
-            .distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        found = cut_lineage(verified(pairs, words, k, threshold))
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = connected(links)
-        # centres have met their whole bucket; buckets inside one component are settled
-        rest = active.drop("label").join(centres.select("key", F.col("at").alias("node")), ["key", "node"], "left_anti")
-        rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        active = cut_lineage(rest.join(open_, "key"))
-        if active.isEmpty():
-            break
-        turn += 1
-        nth = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        centres = active.select("key", F.col("node").alias("at"), nth.alias("nth")).where(F.col("nth") <= 2**turn).drop("nth")
+    stars = cut_lineage(active.select(F.col("centre").alias("at"), "node", "n").distinct())
+    size = stars.where("node = at").select("at", F.col("n").alias("at_n"))
+    pairs = stars.where("node != at").join(size, "at").where(F.least("n", "at_n") >= threshold * F.greatest("n", "at_n"))
+    pairs = cut_lineage(pairs.select(F.least("at", "node").alias("a"), F.greatest("at", "node").alias("b")).distinct())
+    links = cut_lineage(verified(pairs, words, k, threshold))
+    labels = connected(links)
+
+    # centres whose nodes are all in one component are settled; around the others, components
+    # are compared in blocks
+    stars = stars.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = stars.groupBy("at").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("at")
+    found = cut_lineage(block_links(stars.join(open_, "at"), words, k, threshold))
+    if not found.isEmpty():
+        stars_of = labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = connected(stars_of.unionByName(found))
 
     label = F.coalesce("label", "node").alias("label")
     of_row = of_row.join(labels, "node", "left").select("id", "row", label)

@@ -236,3 +236,47 @@ def test_repeats_edges(spark, docs_of):
     got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept[:4]) for r in substring_dedup.remove_repeats(df).collect())
     assert got == [("3", 60, 0, "w0 w"), ("3", 60, 0, "w0 w"), ("9", 61, 60, "tail"), ("None", 60, 60, "")]
     assert rows_of(substring_dedup.remove_repeats(spark.createDataFrame([], DOCS))) == []
+
+
+def test_overlaps_equal_set_intersections():
+    rng = np.random.default_rng(3)
+    xs = [np.unique(rng.integers(0, 9000, rng.integers(0, 400))).astype(np.uint64) for _ in range(20)] + [np.zeros(0, np.uint64)]
+    ys = [np.unique(rng.integers(0, 9000, rng.integers(1, 400))).astype(np.uint64) for _ in range(30)]
+    got = order_minhash.overlaps(xs, ys)
+    assert (got == [[len(set(x.tolist()) & set(y.tolist())) for y in ys] for x in xs]).all()
+
+
+def test_near_links_around_a_poor_centre(docs_of):
+    """A family of edited copies with few links to its centre, in several blocks."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(80)]
+    rows = []
+    for i in range(120):
+        text = list(base)
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(80)] = f"e{rng.randrange(30)}"
+        rows.append((i, " ".join(text)))
+    got = order_minhash.near_classes(docs_of(rows))
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in got.collect()) == near_brute(rows)
+
+
+def test_block_links_finds_every_component_link(spark):
+    """All links that join two labels of a centre, however nodes fall into blocks."""
+    rng = random.Random(2)
+    base = [rng.randrange(1 << 32) for _ in range(60)]
+    texts = {}
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(60)] = rng.randrange(50)
+        texts[i] = np.array(words, dtype=np.uint32)
+    words = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in texts.items()], "node bigint, words binary")
+    label = {i: 0 if i < 25 else i for i in texts}
+    stars = spark.createDataFrame([(0, i, 56, label[i]) for i in texts], "at bigint, node bigint, n int, label bigint")
+    want, seqs = set(), {i: order_minhash.shingles(t, 5).tolist() for i, t in texts.items()}
+    for i in texts:
+        for j in texts:
+            if i < j and label[i] != label[j] and alike(seqs[i], seqs[j]) >= 0.8:
+                want.add(frozenset((label[i], label[j])))
+    got = order_minhash.block_links(stars, words, 5, 0.8, block=7).collect()
+    assert want and {frozenset((label[r.a], label[r.b])) for r in got} == want

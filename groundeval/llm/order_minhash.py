@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundeval.llm.common import WordHasher, as_bytes, cut_lineage, fresh, mix
@@ -132,8 +132,14 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     return m / (na + nb - m)
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
 def sketch_table(docs: DataFrame, id_col: str, text_col: str, k: int, sample: int, sketches: int, short: int, short_sketches: int) -> DataFrame:
-    """``(id, digest, n, keys)`` per row: digest of the words, shingles, bucket keys."""
+    """``(id, digest, n, keys, text_digest)`` per row: digest of the words, shingles, bucket
+    keys, digest of the text as it is."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -149,12 +155,13 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str, k: int, sample: in
                     got = np.concatenate([got, order_keys(sh, 2, short_sketches, 2)])
                 keys.append(np.unique(got).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "digest", "n", "keys"],
+                [b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), b.column(2)],
+                names=["id", "digest", "n", "keys", "text_digest"],
             )
 
-    flat = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return flat.mapInArrow(sketch, "id bigint, digest binary, n int, keys array<bigint>")
+    text = F.col(text_col).cast("string")
+    flat = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"), text_digest(text).alias("text_digest"))
+    return flat.mapInArrow(sketch, "id bigint, digest binary, n int, keys array<bigint>, text_digest binary")
 
 
 def word_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -278,10 +285,18 @@ def near_classes(
     are not read.  With the default parameters a pair at similarity 0.8 is missed by all
     buckets with probability below 1e-4, one at 0.9 below 1e-9.
     """
+    marks = classes_of_rows(docs, id_col, text_col, k, threshold, sample, sketches, short, short_sketches)
+    return marks.select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
+
+
+def classes_of_rows(
+    docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float, sample: int, sketches: int, short: int, short_sketches: int
+) -> DataFrame:
+    """``near_classes`` with the text's digest: ``(id, text_digest, class_id, class_size, kept)``."""
     rows = sketch_table(docs, id_col, text_col, k, sample, sketches, short, short_sketches)
     rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
     nodes = rows.groupBy("digest").agg(F.min("row").alias("node"))
-    of_row = rows.select("id", "digest", "row").join(nodes, "digest")
+    of_row = rows.select("id", "digest", "row", "text_digest").join(nodes, "digest")
     reps = rows.join(nodes.select(F.col("node").alias("row")), "row")
     keyed = reps.select(F.explode("keys").alias("key"), F.col("row").alias("node"), "n")
     crowded = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
@@ -315,18 +330,39 @@ def near_classes(
         labels = connected(stars_of.unionByName(found))
 
     label = F.coalesce("label", "node").alias("label")
-    of_row = of_row.join(labels, "node", "left").select("id", "row", label)
+    of_row = of_row.join(labels, "node", "left").select("id", "row", "text_digest", label)
     best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))).alias("best")
     classes = of_row.groupBy("label").agg(best, F.count("*").alias("class_size"))
     out = of_row.join(classes, "label")
-    return out.select(
-        F.col("id").alias(id_col), F.col("best.id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept")
-    )
+    return out.select("id", "text_digest", F.col("best.id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept"))
+
 
+def keep_one(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    k: int = 5,
+    threshold: float = 0.8,
+    sample: int = 4,
+    sketches: int = 20,
+    short: int = 64,
+    short_sketches: int = 12,
+) -> DataFrame:
+    """The rows of ``docs`` that ``near_classes`` keeps, all columns unchanged.
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The rows of ``docs`` that ``near_classes`` keeps, all columns unchanged.  Rows to go are
-    found by identifier (null equals null); identifiers that repeat must not differ in text,
-    as is so after exact de-duplication."""
-    gone = near_classes(docs, id_col, text_col, **params).where(~F.col("kept")).select(F.col(id_col).alias(fresh(docs, "gone_id"))).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(fresh(docs, "gone_id"))), "left_anti")
+    Rows to go are found by identifier (null equals null) and text digest, so identifiers may
+    be null or repeat; of rows that repeat an identifier and a text one is left.
+    """
+    marks = classes_of_rows(docs, id_col, text_col, k, threshold, sample, sketches, short, short_sketches)
+    flags = (
+        marks.groupBy(F.col("id").alias("f_id"), F.col("text_digest").alias("f_digest"))
+        .agg(F.max("kept").alias("f_kept"), F.count("*").alias("f_n"))
+        .where(~F.col("f_kept") | (F.col("f_n") > 1))
+    )
+    digest, f_id, f_digest, kept = (fresh(docs, c) for c in ("near_text_digest", "f_id", "f_digest", "f_kept"))
+    tagged = docs.withColumn(digest, text_digest(F.col(text_col).cast("string")))
+    flags = cut_lineage(flags.select("f_id", "f_digest", "f_kept")).toDF(f_id, f_digest, kept)
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col(f_id)) & (F.col(digest) == F.col(f_digest))
+    clean = tagged.join(flags, same, "left_anti")
+    once = tagged.join(flags.where(F.col(kept)), same, "left_semi").dropDuplicates([id_col, digest])
+    return clean.unionByName(once).select(*docs.columns)

@@ -151,6 +151,26 @@ def test_near_stage_and_edges(spark, docs_of):
     assert rows_of(order_minhash.near_classes(spark.createDataFrame([], DOCS))) == []
 
 
+def test_near_stage_keeps_rows_that_share_an_identifier(spark, docs_of):
+    rng = random.Random(5)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    a, b, c, d, e = (text(200) for _ in range(5))
+    near = lambda words: " ".join([*words[:-1], "changed"])
+    a, b, c, d, e = (" ".join(x) for x in (a, b, c, d, e))
+    rows = [
+        (1, a), (None, near(a.split())), (None, b),  # a near copy without identifier, and a clean row
+        (None, c), (None, near(c.split())),  # a class of null identifiers only
+        (7, near(a.split())), (7, d),  # one identifier, two texts
+        (9, e), (9, e), (9, e),  # rows equal in both
+    ]
+    df = docs_of(rows).selectExpr("*", "1 AS f_id", "2 AS near_text_digest")
+    got = [(r.doc_id, r.text) for r in order_minhash.keep_one(df.repartition(3)).collect()]
+    assert sorted(t for i, t in got if i is None and t not in (c, near(c.split()))) == [b]
+    assert sum(t in (c, near(c.split())) for _, t in got) == 1
+    assert [x for x in got if x[0] == 1] == [(1, a)] and [x for x in got if x[0] == 7] == [(7, d)]
+    assert [x for x in got if x[0] == 9] == [(9, e)] and len(got) == 5
+
+
 def test_alignment_similarity():
     rng = random.Random(1)
     for _ in range(300):

@@ -1,8 +1,12 @@
 """Packing documents into fixed-length sequences by lexical retrieval.
 
-Documents are hashed into shards of about ``shard_chars`` characters.  A shard tokenises its
-texts, builds a BM25 inverted index over token ids (postings sorted by term, with each
-posting's weight precomputed), and packs:
+Texts become token ids.  Document frequencies, the number of documents and their mean length
+are counted once, over all documents.  Documents are dealt into shards of about ``shard_chars``
+bytes by similarity (``Dealer``): random projections of their BM25 weights are clustered, and
+clusters that resemble each other fill neighbouring shards; a group of documents too alike to
+tell apart is spread by row number.  A shard builds a BM25 inverted index over token ids
+(postings sorted by term, each posting's weight precomputed from the corpus-wide counts), and
+packs:
 
 * the next unused document opens a window; if it is longer than the room left it is cut and
   goes on in the following windows;
@@ -13,8 +17,9 @@ posting's weight precomputed), and packs:
 
 So every window but a shard's last is full.  The last one is cut into sequences whose
 lengths are the powers of two that add up to it, which need no padding.  Shards are
-independent, bounded by their characters, and their number grows with the corpus; sequence
-numbers are ``shard * 2^32 + n``.
+independent, bounded by their bytes, and their number grows with the corpus; sequence numbers
+are ``shard * 2^32 + n``.  A seed meets the documents of its shard only: dealing by similarity
+brings its neighbours there, but one that falls just across a border is not found.
 """
 
 from __future__ import annotations
@@ -24,18 +29,23 @@ import sys
 import types
 from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundeval.llm.common import WordTable, as_bytes
+from groundeval.llm.common import WordTable, as_bytes, cut_lineage, mix
 
 #: Words that the tokenizer's normaliser and pre-tokeniser leave alone but for case: runs of
 #: precomposed Latin letters.  A run of ``MARKS`` after one is a pre-token of its own.
 SIMPLE = re.compile("[a-zA-ZÀ-ÖØ-öø-įı-ſ]+")
 MARKS = ".,;:!?#$%&*()-+=/|~"
+K1, B = 1.2, 0.75
+#: Numbers a document's BM25 weights are projected to; most clusters (above, they are split by
+#: ``SLOTS`` ranges of one more projection each); documents a cluster is learned from.
+DIMS, MAX_CELLS, SLOTS, PER_CELL = 128, 4096, 64, 32
 
 
 def byte_symbols() -> dict[int, str]:
@@ -95,10 +105,185 @@ def worker_encoder(tokenizer_file: str, word_level: bool) -> Encoder:
     return getattr(shared, key)
 
 
+class Stats(NamedTuple):
+    """Counts over all documents: their number, mean length and each term's documents."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    def idf(self) -> np.ndarray:
+        return np.log(1.0 + (self.n - self.df + 0.5) / (self.df + 0.5)).astype(np.float32)
+
+
+def term_counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(document, term, tf)`` of all documents' distinct terms, by document and term."""
+    lens = [len(d) for d in docs]
+    flat = np.repeat(np.arange(len(docs), dtype=np.int64), lens) << 32 | np.concatenate(docs) if docs else np.zeros(0, np.int64)
+    pair, tf = np.unique(flat, return_counts=True)
+    return (pair >> 32).astype(np.int32), pair & 0xFFFFFFFF, tf
+
+
+def id_batches(blobs: pa.Array, most: int = 200_000) -> Iterator[list[np.ndarray]]:
+    """The id arrays of binary values, about ``most`` ids at a time."""
+    part, total = [], 0
+    for x in blobs:
+        part.append(np.frombuffer(x.as_buffer(), dtype="<u4").astype(np.int64))
+        total += len(part[-1])
+        if total >= most:
+            yield part
+            part, total = [], 0
+    if part:
+        yield part
+
+
+def corpus_stats(encoded: DataFrame) -> Stats:
+    """``Stats`` of the column ``ids``; as many rows as the vocabulary has come to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(1, dtype=np.int64), 0, 0
+        for b in batches:
+            for docs in id_batches(b.column(0)):
+                got = np.bincount(term_counts(docs)[1])
+                if len(got) > len(df):
+                    df = np.pad(df, (0, len(got) - len(df)))
+                df[: len(got)] += got
+                n, total = n + len(docs), total + sum(map(len, docs))
+        seen = np.flatnonzero(df)
+        terms, sums = np.concatenate([seen, [-1, -2]]), np.concatenate([df[seen], [n, total]])
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(sums, pa.int64())], names=["term", "c"])
+
+    sums = encoded.select("ids").mapInArrow(count, "term bigint, c bigint").groupBy("term").agg(F.sum("c").alias("c")).toArrow()
+    terms, c = sums["term"].to_numpy(), sums["c"].to_numpy()
+    n, total = (int(c[terms == t].sum()) for t in (-1, -2))
+    df = np.zeros(int(terms.max(initial=0)) + 1, dtype=np.int64)
+    df[terms[terms >= 0]] = c[terms >= 0]
+    return Stats(n, max(total / max(n, 1), 1.0), df)
+
+
+class Dealer:
+    """Deals documents to shards by similarity.  ``learn`` finds clusters of the projected BM25
+    weights (spherical k-means) and puts them in an order in which neighbours are alike;
+    ``place`` gives a document's cluster and range of one more projection."""
+
+    def __init__(self, stats: Stats, seed: int = 1):
+        self.stats, self.seed = stats, seed
+        self.centres = np.zeros((1, DIMS), dtype=np.float32)
+
+    def prepare(self) -> None:
+        rng = np.random.default_rng(self.seed)
+        self.idf = self.stats.idf()
+        self.basis = rng.standard_normal((len(self.idf), DIMS), dtype=np.float32)
+        self.across = rng.standard_normal(DIMS, dtype=np.float32)
+
+    def vectors(self, docs: list[np.ndarray]) -> np.ndarray:
+        doc, term, tf = term_counts(docs)
+        length = np.array([len(d) for d in docs], dtype=np.float32)
+        weight = (self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / self.stats.mean))).astype(np.float32)
+        start = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1])
+        out = np.add.reduceat(self.basis[term] * weight[:, None], start, axis=0)  # no document is without ids
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+    def learn(self, x: np.ndarray, cells: int, rounds: int = 8) -> None:
+        cells = max(1, min(cells, len(x)))
+        rng = np.random.default_rng(self.seed)
+        centres = x[np.sort(rng.choice(len(x), cells, replace=False))]
+        for _ in range(rounds):
+            own = np.concatenate([(x[lo : lo + 4096] @ centres.T).argmax(axis=1) for lo in range(0, len(x), 4096)])
+            sums = np.zeros_like(centres)
+            np.add.at(sums, own, x)
+            size = np.linalg.norm(sums, axis=1, keepdims=True)
+            centres = np.where(size > 0, sums / np.maximum(size, 1e-12), centres).astype(np.float32)
+        order, left = [0], np.ones(cells, dtype=bool)
+        left[0] = False
+        while len(order) < cells:
+            order.append(int(np.where(left, centres @ centres[order[-1]], -2.0).argmax()))
+            left[order[-1]] = False
+        self.centres = centres[order]
+
+    def place(self, blobs: pa.Array) -> np.ndarray:
+        """``cluster * SLOTS + range`` of each document."""
+        out = [np.zeros(0, dtype=np.int64)]
+        for docs in id_batches(blobs):
+            x = self.vectors(docs)
+            slot = np.clip(np.floor((x @ self.across) * (SLOTS / 8)) + SLOTS // 2, 0, SLOTS - 1)
+            out.append((x @ self.centres.T).argmax(axis=1) * SLOTS + slot.astype(np.int64))
+        return np.concatenate(out)
+
+
+def fill_shards(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """First shard of each place and over how many it is spread, and the number of shards.
+    Clusters (``SLOTS`` places each) are put whole and in order into shards of ``limit``; one
+    above it is put place by place, and a place above it is spread over shards of its own."""
+    first, spread = np.zeros(len(sizes), dtype=np.int64), np.ones(len(sizes), dtype=np.int64)
+    shard, room = 0, limit
+    for lo in range(0, len(sizes), SLOTS):
+        whole = int(sizes[lo : lo + SLOTS].sum())
+        step = SLOTS if whole <= limit else 1
+        for i in range(lo, lo + SLOTS, step):
+            n = int(sizes[i : i + step].sum())
+            if n > room and room < limit:
+                shard, room = shard + 1, limit
+            first[i : i + step] = shard
+            if n > limit:
+                spread[i] = -(-n // limit)
+                shard += int(spread[i])
+            else:
+                room -= n
+    return first, spread, shard + (room < limit)
+
+
+def deal(encoded: DataFrame, stats: Stats, shard_chars: int) -> DataFrame:
+    """``(shard, id, ids)`` of ``encoded(id, ids, size)``."""
+    kind = encoded.schema["id"].dataType.simpleString()
+    total = encoded.agg(F.sum("size")).first()[0] or 0
+    shards = max(1, -(-total // shard_chars))
+    if shards == 1:
+        return encoded.select(F.lit(0).cast("bigint").alias("shard"), "id", "ids")
+    dealer, cells = Dealer(stats), min(2 * shards, MAX_CELLS)
+    # the documents clusters are learned from: distinct ones, so that copies do not make many
+    keyed = encoded.select(F.xxhash64("ids").alias("h"), "ids")
+    some = keyed.where(F.pmod("h", F.lit(max(1, stats.n // (PER_CELL * cells)))) == 0).dropDuplicates(["h"])
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer.prepare()
+        for b in batches:
+            vectors = [v.tobytes() for docs in id_batches(b.column(1)) for v in dealer.vectors(docs)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vectors, pa.binary())], names=["h", "v"])
+
+    got = some.mapInArrow(project, "h bigint, v binary").toArrow().sort_by("h")
+    x = np.frombuffer(b"".join(got["v"].to_pylist()), dtype=np.float32).reshape(-1, DIMS)
+    if len(x):
+        dealer.learn(x, cells)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer.prepare()
+        sums = np.zeros(len(dealer.centres) * SLOTS, dtype=np.int64)
+        for b in batches:
+            np.add.at(sums, dealer.place(b.column(0)), b.column(1).to_numpy())
+        seen = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(sums[seen], pa.int64())], names=["place", "n"])
+
+    # at most cells * SLOTS rows
+    got = encoded.select("ids", "size").mapInArrow(measure, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    sizes = np.zeros(len(dealer.centres) * SLOTS, dtype=np.int64)
+    sizes[got["place"].to_numpy()] = got["n"].to_numpy()
+    first, spread, _ = fill_shards(sizes, shard_chars)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer.prepare()
+        for b in batches:
+            place, row = dealer.place(b.column(1)), mix(b.column(2).to_numpy().astype(np.uint64) + np.uint64(1))
+            shard = first[place] + (row % spread[place].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), b.column(0), b.column(1)], names=["shard", "id", "ids"])
+
+    return encoded.select("id", "ids", "row").mapInArrow(assign, f"shard bigint, id {kind}, ids binary")
+
+
 class Bm25:
-    """Inverted index over documents given as id arrays."""
+    """Inverted index over documents given as id arrays; ``stats`` default to their own."""
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, query_terms: int = 24):
+    def __init__(self, docs: list[np.ndarray], k1: float = K1, b: float = B, query_terms: int = 24, stats: Stats | None = None):
         n = len(docs)
         terms, tfs = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True) if docs else ((), ())
         sizes = np.array([len(t) for t in terms], dtype=np.int64)
@@ -106,10 +291,9 @@ class Bm25:
         term = np.concatenate(terms) if n else np.zeros(0, np.int64)
         tf = np.concatenate(tfs).astype(np.float32) if n else np.zeros(0, np.float32)
         length = np.array([len(d) for d in docs], dtype=np.float32)
-        mean = max(float(length.mean()), 1.0) if n else 1.0
         df = np.bincount(term, minlength=1)
-        idf = np.log(1.0 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / mean))
+        stats = stats or Stats(n, max(float(length.mean()), 1.0) if n else 1.0, df)
+        weight = stats.idf()[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / np.float32(stats.mean)))
         # each document's heaviest terms are its query
         self.queries, at = [], 0
         for t, size in zip(terms, sizes, strict=True):
@@ -132,9 +316,9 @@ class Bm25:
         return np.bincount(docs, weights=np.concatenate([self.weight[a:z] for a, z in spans]), minlength=self.n)
 
 
-def pack_shard(docs: list[np.ndarray], size: int, query_terms: int = 24) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], size: int, query_terms: int = 24, stats: Stats | None = None) -> list[tuple[int, int, int, int, int]]:
     """``(document, start, length, sequence, offset)`` of each piece, in order."""
-    index = Bm25(docs, query_terms=query_terms)
+    index = Bm25(docs, query_terms=query_terms, stats=stats)
     lens = [len(d) for d in docs]
     used = np.zeros(len(docs), dtype=bool)
     pieces: list[tuple[int, int, int, int, int]] = []
@@ -215,22 +399,31 @@ def pack(
         raise ValueError("size must be a power of two")
     kind = docs.schema[id_col].dataType.simpleString()
     flat = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    chars = flat.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-chars // shard_chars))
-    dealt = flat.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
+    end = np.array([end_id], dtype="<u4").tobytes()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = worker_encoder(tokenizer_file, word_level)
+        for b in batches:
+            blobs = [encoder.encode(t) + end for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary()), b.column(2)], names=["id", "ids", "size"])
+
+    flat = flat.withColumn("size", F.octet_length("text").cast("bigint") + 1)
+    encoded = flat.mapInArrow(encode, f"id {kind}, ids binary, size bigint")
+    # the row number tells apart rows that repeat an identifier and a text
+    encoded = cut_lineage(encoded.withColumn("row", F.monotonically_increasing_id()))
+    stats = corpus_stats(encoded)
+    dealt = deal(encoded, stats, shard_chars)
 
     def pack_group(key, rows: Iterator[pa.RecordBatch]):
         shard = key[0].as_py()
-        encoder = worker_encoder(tokenizer_file, word_level)
-        end = np.array([end_id], dtype="<u4").tobytes()
         ids, blobs = [], []
         for b in rows:
             ids.extend(b.column("id").to_pylist())
-            blobs.extend(encoder.encode(t) + end for t in b.column("text").to_pylist())
+            blobs.extend(b.column("ids").to_pylist())
         # order by content, so that the result does not depend on the order of arrival
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0, blobs[i]))
         ids, blobs = [ids[i] for i in order], [blobs[i] for i in order]
-        pieces = pack_shard([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in blobs], size, query_terms)
+        pieces = pack_shard([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in blobs], size, query_terms, stats)
         base = shard << 32
         for lo in range(0, len(pieces), 5000):
             part = pieces[lo : lo + 5000]

@@ -103,6 +103,51 @@ def test_bm25_and_neighbours():
     assert sum(len(m) for m in mates) <= 10  # windows hold one topic, or two where one runs out
 
 
+def test_neighbours_among_many_shards_share_a_window(spark, docs_of):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+    common = [word() for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(common) for _ in range(60))) for i in range(1200)]
+    ids = list(range(1200, 1240))  # planted pairs
+    for _ in range(20):
+        own = [word() for _ in range(50)]
+        rows += [(len(rows) + j, " ".join(rng.sample(own, 45))) for j in range(2)]
+
+    def mates(shard_chars, of):
+        pieces = packing.pack(docs_of(rows).repartition(4), tokenizer_file(), size=1024, shard_chars=shard_chars).collect()
+        found = {}
+        for p in pieces:
+            found.setdefault(p.doc_id, set()).add(of(p.sequence_id))
+        together = sum(bool(found[a] & found[b]) for a, b in zip(ids[::2], ids[1::2], strict=True))
+        return together, len({p.sequence_id >> 32 for p in pieces})
+
+    one, _ = mates(10**9, lambda s: s)  # a mate may be used up by another seed, whatever the shards
+    many, shards = mates(20_000, lambda s: s)
+    assert shards > 20 and one >= 10 and many >= one - 2
+    assert mates(20_000, lambda s: s >> 32)[0] >= 19
+
+
+def test_a_group_of_equal_rows_is_spread(spark, docs_of):
+    df = docs_of([(7, "one hot text " * 20)] * 300 + [(i, f"text {i}") for i in range(100, 200)])
+    pieces = packing.pack(df, tokenizer_file(), size=256, shard_chars=10_000)
+    spread = pieces.where("doc_id = 7").select(F.expr("sequence_id >> 32").alias("s")).distinct().count()
+    assert spread >= 5 and pieces.where("start = 0").count() == 400
+
+
+def test_scores_use_counts_of_all_documents(spark, docs_of):
+    rows = [(i, f"word{i % 7} other{i % 11} " * (1 + i % 3)) for i in range(200)]
+    file = tokenizer_file()
+    encoder = packing.Encoder(file)
+    ids = [np.frombuffer(encoder.encode(t), dtype="<u4").astype(np.int64) for _, t in rows]
+    df = spark.createDataFrame([(i, bytearray(x.astype("<u4").tobytes())) for i, x in enumerate(ids)], "id bigint, ids binary").repartition(5)
+    stats = packing.corpus_stats(df)
+    assert stats.n == 200 and stats.mean == pytest.approx(np.mean([len(x) for x in ids]))
+    want = np.bincount(np.concatenate([np.unique(x) for x in ids]))
+    assert (stats.df == want).all()
+    few, every = packing.Bm25(ids[:20], stats=stats), packing.Bm25(ids)
+    assert few.scores(3) == pytest.approx(every.scores(3)[:20], rel=1e-4)
+
+
 def plain_mix(tokens, budget, limit):
     """Repetition of each source by a fine search for the exponent."""
     total = sum(tokens.values())

@@ -59,9 +59,9 @@ def train_nnpu(
     pos: list[np.ndarray], unl: list[np.ndarray], prior: float, bits: int, steps: int, rate: float, l2: float, min_share: float, lift: float
 ) -> np.ndarray:
     """Weights (the last one is the bias) of one classifier, by full-batch Adam on the nnPU
-    risk.  A word gets a weight if it is in ``min_share`` of the toxic documents (three at
-    least) and in ``lift`` times as large a share of them as of the unlabelled ones; others
-    are no evidence of toxicity and would only be learned by heart."""
+    risk.  A word gets a weight if it is in three toxic documents (and in ``min_share`` of
+    them, if given) and in ``lift`` times as large a share of them as of the unlabelled ones;
+    others are no evidence of toxicity and would only be learned by heart."""
     size = 1 << bits
     docs = pos + unl
     lens = np.array([len(d) for d in docs])
@@ -115,12 +115,13 @@ def fit(
     steps: int = 300,
     rate: float = 0.05,
     l2: float = 3e-5,
-    min_share: float = 0.02,
+    min_share: float = 0.0,
     lift: float = 4.0,
     seed: int = 7,
 ) -> np.ndarray:
     """``bags x (2^bits + 1)`` weights.  Labels are read only from rows where ``train`` holds;
-    ``prior`` defaults to the toxic share of the labelled training rows.  Without a toxic
+    ``prior`` defaults to the toxic share of the labelled training rows.  ``min_share`` is a
+    share of all toxic documents: above 0 it takes the cues of small languages away.  Without a toxic
     training row all weights are zero and the bias says ``prior`` (0.5 if unknown)."""
     train = F.lit(True) if train is None else train
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), train.alias("ok"))

@@ -109,6 +109,15 @@ def test_toxicity_held_out(spark):
     assert everything.held_out.tolist() == [fold(i, 3, 1) for i in everything.doc_id]
 
 
+def test_toxicity_recall_in_each_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    got = QUERIES["op9_toxicity"](spark, sf).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    recall = got[got.toxic == 1].groupby("lang").predicted.mean()
+    assert set(recall.index) == {"de", "en", "es", "fr"} and (recall >= 0.5).all()
+    assert (got[got.toxic == 0].groupby("lang").predicted.mean() < 0.05).all()
+
+
 def test_toxicity_labels_of_held_out_rows_are_not_used(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     labels = spark.read.parquet(f"{SF01}/labels.parquet")

@@ -294,6 +294,31 @@ def test_lm_blocks_and_lookup(spark, docs_of):
     assert (table[lm_score.Lookup(table)(asked)] == asked).all()
 
 
+def test_lm_scores_do_not_depend_on_blocks(sample):
+    train = ~in_fold("doc_id", 7, 2)
+    docs = sample.unionByName(sample.limit(20))  # copies, so that token contexts are found
+    one, many = (sorted((r.doc_id, r.score) for r in lm_score.lm_score(docs, train, block_bytes=n).collect()) for n in (10**9, 40_000))
+    assert [i for i, _ in one] == [i for i, _ in many]
+    assert [s for _, s in one] == pytest.approx([s for _, s in many], rel=1e-9)
+
+
+def test_lm_token_contexts_equal_one_piece(spark, docs_of):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(40))) for _ in range(60)]
+    rows = list(enumerate([*texts, *texts[:9]]))
+    got = {r.doc_id: r.score for r in lm_score.lm_score(docs_of(rows), F.col("doc_id") % 4 != 1, block_bytes=2000).collect()}
+    plain = {r.doc_id: r.score for r in lm_score.lm_score(docs_of(rows), F.col("doc_id") % 4 != 1, token_order=0).collect()}
+    words, doc, _ = lm_score.text_tokens([t for _, t in rows], lm_score.WordHasher())
+    # code lengths of the six tokens and the end, from single-token texts
+    ones = {r.doc_id: r for r in lm_score.lm_score(docs_of(rows + [(1001 + 4 * i, x) for i, x in enumerate(["", *"abcdef"])]), (F.col("doc_id") % 4 != 1) & (F.col("doc_id") < 1000), token_order=0).collect()}
+    end = ones[1001].score
+    code = {lm_score.WordHasher()(x.encode())[0]: ones[1005 + 4 * i].score - end for i, x in enumerate("abcdef")} | {lm_score.END_HASH: end}
+    logp = np.array([code[w] for w in words])
+    assert np.bincount(doc, weights=logp) == pytest.approx([plain[i] for i, _ in rows])
+    want = lm_score.with_token_contexts(words, doc, (np.arange(len(rows)) % 4 != 1)[doc], logp, 3)
+    assert np.bincount(doc, weights=want) == pytest.approx([got[i] for i, _ in rows])
+
+
 def test_lm_edges(spark, docs_of):
     df = docs_of([(1, None), (2, " \n"), (None, "a b"), (4, "a b"), (4, "a b"), (5, "x" * 70_000)]).selectExpr("*", "1 AS c", "2 AS word", "3 AS block", "4 AS train")
     got = {(r.doc_id, r.n_tokens): r for r in lm_score.lm_score(df, F.col("doc_id") != 5).collect()}

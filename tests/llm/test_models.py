@@ -319,6 +319,12 @@ def test_lm_token_contexts_equal_one_piece(spark, docs_of):
     assert np.bincount(doc, weights=want) == pytest.approx([got[i] for i, _ in rows])
 
 
+def test_lm_uses_contexts_of_six_bytes(docs_of):
+    df = docs_of([(i, "abcdefx ybcdefz") for i in range(30)])
+    got, five, six = (lm_score.lm_score(df, token_order=0, **p).first().score for p in ({}, {"max_order": 5}, {"max_order": 6}))
+    assert got == pytest.approx(six) and six > five
+
+
 def test_lm_edges(spark, docs_of):
     df = docs_of([(1, None), (2, " \n"), (None, "a b"), (4, "a b"), (4, "a b"), (5, "x" * 70_000)]).selectExpr("*", "1 AS c", "2 AS word", "3 AS block", "4 AS train")
     got = {(r.doc_id, r.n_tokens): r for r in lm_score.lm_score(df, F.col("doc_id") != 5).collect()}

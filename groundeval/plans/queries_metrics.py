@@ -113,6 +113,56 @@ def parse_answer(spark, d):
     )
 
 
+# Answers as models write them, one form per pair_id % 6: escapes and a comma at the end;
+# adjacent strings and no explanation; three quotes and a constant; a number, a code escape and
+# a third field; JSON; no literal at all.
+def _escaped(c: str) -> str:
+    return rf"replace(replace(replace(replace({c}, '\', '\\'), '''', '\'''), chr(10), '\n'), chr(13), '\r')"
+
+
+_LITERALS_SQL = fx.FORMATTED_SQL + rf""",
+forms AS (
+  SELECT pair_id, answer, explanation, pred_json,
+         CASE pair_id % 6
+           WHEN 0 THEN '{{''answer'': ''' || {_escaped('answer')} || ''', ''explanation'': ''' || {_escaped('explanation')} || ''',}}'
+           WHEN 1 THEN '{{"answer": ''' || {_escaped('answer')} || ''' "!", ''explanation'': None}}'
+           WHEN 2 THEN '{{' || chr(10) || '  ''answer'': True,  # sure' || chr(10) || '  ''explanation'': ''''''' || {_escaped('explanation')} || ''''''' }}'
+           WHEN 3 THEN '{{''answer'': -12_3.50, ''explanation'': "\x41" ''' || {_escaped('explanation')} || ''', ''more'': [1, (2, {{}})]}}'
+           WHEN 4 THEN pred_json
+           ELSE '{{answer: ' || answer || '}}' END AS pred
+  FROM formatted
+)"""
+
+
+@register("parse_literals", "WITH " + _LITERALS_SQL + """
+SELECT pair_id, pred,
+       CASE pair_id % 6 WHEN 1 THEN answer || '!' WHEN 2 THEN 'True' WHEN 3 THEN '-123.5' WHEN 5 THEN pred ELSE answer END AS answer,
+       CASE pair_id % 6 WHEN 1 THEN 'None' WHEN 3 THEN 'A' || explanation WHEN 5 THEN pred ELSE explanation END AS explanation
+FROM forms""", "S4")
+def parse_literals(spark, d):
+    def esc(c):
+        out = F.col(c)
+        for old, new in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r")):
+            out = F.replace(out, F.lit(old), F.lit(new))
+        return out
+
+    def text(*parts):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    n = F.col("pair_id") % 6
+    pred = (
+        F.when(n == 0, text("{'answer': '", esc("answer"), "', 'explanation': '", esc("explanation"), "',}"))
+        .when(n == 1, text("{\"answer\": '", esc("answer"), "' \"!\", 'explanation': None}"))
+        .when(n == 2, text("{\n  'answer': True,  # sure\n  'explanation': '''", esc("explanation"), "''' }"))
+        .when(n == 3, text("{'answer': -12_3.50, 'explanation': \"\\x41\" '", esc("explanation"), "', 'more': [1, (2, {})]}"))
+        .when(n == 4, F.col("pred_json"))
+        .otherwise(text("{answer: ", F.col("answer"), "}"))
+    )
+    forms = fx.formatted_preds(spark, d).select("pair_id", pred.alias("pred"))
+    answer, explanation = A.parse_json("pred")
+    return forms.select("pair_id", "pred", answer.alias("answer"), explanation.alias("explanation"))
+
+
 @register("parse_by_dataset", "WITH " + fx.FORMATTED_SQL + f""",
 n AS (SELECT *, (['nq_open', '{A.RAW_DATASETS[0]}', '{A.CHOICE_DATASET}'])[pair_id % 3 + 1] AS dataset FROM formatted)
 SELECT pair_id, dataset,

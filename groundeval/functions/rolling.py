@@ -6,12 +6,17 @@ it is invertible mod 2^64; uint64 arithmetic wraps):
 
     H[i] = (Q[i+w] - Q[i]) * B^(i+w-1) = sum_{j=i..i+w-1} c[j] * B^(i+w-1-j)
 
-Hashes are only a pre-filter: every candidate is compared as a string afterwards, so
-collisions can never change a result.
+Hashes only find candidates: those are compared as strings afterwards, so collisions can
+never change a result.
+
+``pack_run`` / ``unpack_run`` hold a sorted run of hashes in a few bytes an entry, for runs that
+travel by hash range instead of as rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 # Fixed values of the hash: an odd 64-bit multiplier and its inverse mod 2^64.
@@ -54,3 +59,62 @@ def window_hashes(text: str, width: int, powers: Powers) -> np.ndarray:
         q = np.zeros(len(cp) + 1, dtype=_U64)
         np.cumsum(cp * powers.inv[: len(cp)], dtype=_U64, out=q[1:])
         return (q[width:] - q[:n]) * powers.fwd[width - 1 : width - 1 + n]
+
+
+PIECE_CHARS = 1 << 20
+
+
+def pieces(texts) -> Iterator[tuple[list[int], list[str]]]:
+    """Texts (None: empty) in groups of about ``PIECE_CHARS`` characters, with their places."""
+    at, held, size = [], [], 0
+    for i, t in enumerate(texts):
+        if t:
+            at.append(i)
+            held.append(t)
+            size += len(t)
+        if size >= PIECE_CHARS:
+            yield at, held
+            at, held, size = [], [], 0
+    if held:
+        yield at, held
+
+
+def many_window_hashes(texts: list[str], width: int, powers: Powers, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``window_hashes`` of all texts in one go, at every ``step``-th position: the hashes, the
+    number of the text each belongs to, and the position in it."""
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    cp = code_points("".join(texts))
+    powers.ensure(len(cp) + 1)
+    counts = np.maximum((lengths - width) // step + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    pos = (np.arange(owner.size) - np.repeat(np.cumsum(counts) - counts, counts)) * step
+    at = pos + np.repeat(np.cumsum(lengths) - lengths, counts)
+    with np.errstate(over="ignore"):
+        q = np.zeros(len(cp) + 1, dtype=_U64)
+        np.cumsum(cp * powers.inv[: len(cp)], dtype=_U64, out=q[1:])
+        return (q[at + width] - q[at]) * powers.fwd[at + (width - 1)], owner, pos
+
+
+def spread(h: np.ndarray) -> np.ndarray:
+    """Hashes with their bits mixed, so that any leading bits are evenly used."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> _U64(32))) * _U64(BASE)
+        return h ^ (h >> _U64(29))
+
+
+def pack_run(sorted_hashes: np.ndarray) -> bytes:
+    """A sorted run of unsigned 64-bit numbers: the first, then differences as wide as needed."""
+    gaps = np.diff(sorted_hashes)
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not gaps.size or int(gaps.max()) < 1 << (8 * w))
+    return bytes([width]) + sorted_hashes[:1].astype("<u8").tobytes() + gaps.astype(f"<u{width}").tobytes()
+
+
+def unpack_run(data: bytes) -> np.ndarray:
+    if len(data) == 1:
+        return np.empty(0, dtype=_U64)
+    gaps = np.frombuffer(data, dtype=f"<u{data[0]}", offset=9).astype(_U64)
+    out = np.empty(gaps.size + 1, dtype=_U64)
+    out[0] = np.frombuffer(data, dtype="<u8", count=1, offset=1)[0]
+    with np.errstate(over="ignore"):
+        out[1:] = out[0] + np.cumsum(gaps, dtype=_U64)
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundeval.operators import overlap as ov
+from groundeval.operators import sketch as sk
 from groundeval.plans import fixtures as fx
 from groundeval.plans.catalog import register
 
@@ -37,9 +38,8 @@ def _probe(spark, d):
     return fx.table(spark, d, "benchmark").select("item_id", "text")
 
 
-def _hits(spark, d, corpus=None):
-    corpus = corpus if corpus is not None else fx.corpus(spark, d)
-    return ov.overlap_hits(_probe(spark, d), corpus, id_col="item_id")
+def _members(spark, d):
+    return ov.members(_probe(spark, d), fx.corpus(spark, d), id_col="item_id")
 
 
 QUIP_OVERLAP_SQL = "WITH " + _PG + "," + _cg("documents") + "," + _HITS + """
@@ -86,9 +86,7 @@ WHERE h.is_member""",
     ("S11",),
 )
 def matched_segments(spark, d):
-    probe = _probe(spark, d)
-    hits = _hits(spark, d)
-    m = ov.matched_segments(probe, hits, id_col="item_id")
+    m = ov.matched_segments(_probe(spark, d), _members(spark, d), id_col="item_id")
     return m.select("item_id", F.col("pos").cast("long").alias("pos"), "segments")
 
 
@@ -110,7 +108,7 @@ FROM ch""",
     ("W3",),
 )
 def quip_chains(spark, d):
-    c = ov.quip_chains(_hits(spark, d), id_col="item_id")
+    c = ov.quip_chains(_members(spark, d), id_col="item_id")
     return c.select(
         "item_id", "chain_rank",
         F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos"),
@@ -133,8 +131,8 @@ def _bloom(spark, d):
     sizing reads one integer column instead of the texts."""
     docs = fx.table(spark, d, "documents")
     n = docs.agg(F.sum("n_chars").alias("n")).first()["n"] or 0
-    m = ov.bloom_bits_for(int(n))
-    return ov.bloom_sketch(docs.select("doc_id", "text"), m_bits=m), m
+    m = sk.bits_for(int(n))
+    return sk.bloom_sketch(docs.select("doc_id", "text"), m_bits=m), m
 
 
 @register("bloom_contract", "WITH q AS (" + QUIP_OVERLAP_SQL + """)
@@ -144,13 +142,36 @@ def bloom_contract(spark, d):
     positives stay within five standard deviations of the filter's 1 % rate."""
     probe = _probe(spark, d)
     sketch, m = _bloom(spark, d)
-    approx = ov.overlap_from_hits(probe, ov.bloom_hits(probe, sketch, m_bits=m, id_col="item_id"), "item_id")
+    approx = sk.bloom_overlap(probe, sketch, m_bits=m, id_col="item_id")
     j = quip_overlap(spark, d).join(approx.select("item_id", F.col("hits").alias("bloom_hits")), "item_id")
     false, rest = F.col("bloom_hits") - F.col("hits"), F.col("segments") - F.col("hits")
     return j.select("item_id", "segments", F.col("hits").alias("exact_hits"), (false >= 0).alias("none_missed"),
                     (false <= 0.01 * rest + 5 * F.sqrt(0.01 * rest) + 1).alias("few_false"))
 
 
+@register("sketch_merge", "WITH q AS (" + QUIP_OVERLAP_SQL + """)
+SELECT item_id, segments, hits AS exact_hits, TRUE AS none_missed, TRUE AS same_as_whole, 0::BIGINT AS words_that_differ FROM q""", ("E14", "C13"))
+def sketch_merge(spark, d):
+    """Sketches of two halves of the corpus, each stored by word range, read back and merged:
+    every word equals the whole corpus's sketch, and so does every lookup."""
+    import uuid
+
+    from groundeval.session import checkpoint_dir
+
+    docs = fx.table(spark, d, "documents")
+    m = sk.bits_for(int(docs.agg(F.sum("n_chars")).first()[0] or 0))
+    base = f"{checkpoint_dir(spark)}/sketch-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        sk.write_sketch(sk.bloom_sketch(docs.where(F.col("doc_id") % 2 == half).select("text"), m_bits=m), f"{base}/{half}")
+    sk.write_sketch(sk.bloom_sketch(docs.select("text"), m_bits=m), f"{base}/whole")
+    merged, whole = sk.merge_sketches(*[spark.read.parquet(f"{base}/{h}") for h in (0, 1)]), spark.read.parquet(f"{base}/whole")
+    differ = merged.join(whole.select("word", F.col("bits").alias("b")), "word", "full").where(~F.col("bits").eqNullSafe(F.col("b"))).count()
+    hits = lambda s, name: sk.bloom_overlap(_probe(spark, d), s, id_col="item_id").select("item_id", F.col("hits").alias(name))
+    j = quip_overlap(spark, d).join(hits(merged, "m"), "item_id").join(hits(whole, "w"), "item_id")
+    return j.select("item_id", "segments", F.col("hits").alias("exact_hits"), (F.col("m") >= F.col("hits")).alias("none_missed"),
+                    (F.col("m") == F.col("w")).alias("same_as_whole"), F.lit(differ).cast("long").alias("words_that_differ"))
+
+
 _STRIDE = 5
 
 

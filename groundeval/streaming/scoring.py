@@ -2,8 +2,8 @@
 
 The reference scores finished runs only; here the same batch operators run per
 micro-batch, so a generation job can drop prediction files into a folder and the scores
-appear incrementally.  ``foreachBatch`` keeps the exact overlap plan (it needs a filter of
-the batch's grams).  Every micro-batch overwrites its own ``batch_id=`` folder, so a batch
+appear incrementally.  ``foreachBatch`` keeps the exact overlap plan (jobs run while it is
+built).  Every micro-batch overwrites its own ``batch_id=`` folder, so a batch
 that is replayed after a failure leaves the same rows once.  ``running_metrics`` keeps
 per-run means as streaming state.
 """
@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from groundeval.operators import evaluate as EV
 from groundeval.operators import metrics as M
-from groundeval.operators import overlap as OV
+from groundeval.operators import sketch as SK
 from groundeval.session import checkpoint_dir
 
 PREDICTION_SCHEMA = T.StructType([
@@ -45,7 +45,7 @@ def score_batch(preds: DataFrame, corpus: DataFrame | None = None, *, sketch: Da
         return EV.score_rows(preds, corpus).select("pair_id", "run_id", "target", "em", "f1", "rougel", "overlap")
     scored = EV.score_rows(preds, None).drop("overlap")
     texts = preds.select(F.struct("run_id", "pair_id").alias("id"), F.col("pred").alias("text"))
-    ov = OV.overlap_from_hits(texts, OV.bloom_hits(texts, sketch, m_bits=m_bits, id_col="id"), "id")
+    ov = SK.bloom_overlap(texts, sketch, m_bits=m_bits, id_col="id")
     ov = ov.select("id.run_id", "id.pair_id", "overlap")
     return scored.join(ov, ["run_id", "pair_id"], "left").select("pair_id", "run_id", "target", "em", "f1", "rougel", "overlap")
 

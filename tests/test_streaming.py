@@ -44,15 +44,15 @@ def test_running_metrics_stream_matches_batch(spark, tmp_path):
 
 
 def test_stream_with_bloom_sketch(spark, tmp_path):
-    from groundeval.operators import overlap as OV
+    from groundeval.operators import sketch as SK
 
     src = _eval_source(spark, SF001)
     inbox, sink = str(tmp_path / "in"), str(tmp_path / "scores")
     src.write.json(inbox)
     corpus = fx.corpus(spark, SF001)
-    m = OV.bloom_bits_for(OV._window_total(corpus, "text", 25))
+    m = SK.bits_for(SK.window_total(corpus))
     sketch_path = str(tmp_path / "sketch")
-    OV.bloom_sketch(corpus, m_bits=m).write.parquet(sketch_path)  # built once, reused by every batch
+    SK.write_sketch(SK.bloom_sketch(corpus, m_bits=m), sketch_path)  # built once, reused by every batch
     q = S.start_scoring(spark.readStream.schema(S.PREDICTION_SCHEMA).json(inbox), None, sink, name=f"b{os.getpid()}",
                         sketch=spark.read.parquet(sketch_path), m_bits=m)
     q.awaitTermination(300)

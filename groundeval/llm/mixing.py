@@ -110,7 +110,7 @@ def draw_units(units: DataFrame, plan: DataFrame, block_docs: int, seed: int) ->
     dealt = dealt.withColumn("upto", F.sum("tokens").over(inside)).alias("d")
     cond = F.expr("d.source <=> b.source and d.block = b.block")
     dealt = dealt.join(blocks.select("source", "block", "before").alias("b"), cond).select("d.*", "before")
-    last = (F.col("before") + F.col("upto") <= F.col("rest")).cast("int")
+    last = ((F.col("tokens") > 0) & (F.col("before") + F.col("upto") <= F.col("rest"))).cast("int")
     return dealt.withColumn("copies", (F.col("epochs") + last).cast("int")).drop("docs", "epochs", "rest", "upto", "before", "block_key", "doc_key")
 
 
@@ -129,8 +129,8 @@ def mix(
     (names lengthened if taken).  A row is in as many epochs as its source's budget reaches.
 
     Give ``entropy`` (0 .. 1, a fraction of the largest) or ``max_repetition``; entropy wins.
-    A null source is a source of its own; null and empty texts have no tokens; a source
-    without tokens is used once.  Rows that repeat identifier, text and source move
+    A null source is a source of its own; null and empty texts have no tokens and are in the
+    whole epochs only, never in a part of one; a source without tokens is used once.  Rows that repeat identifier, text and source move
     together.  One source, or limits that already hold, leave everything as it is.  An empty
     table gives an empty result.
     """

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -210,6 +211,19 @@ def test_mixing_edges(spark, docs_of):
     assert mixing.mix(docs_of([(1, "a"), (2, "b")])).count() == 2
 
 
+@pytest.mark.parametrize("limit", [1.0, 1.5, 2.0])
+def test_mixing_documents_without_tokens(docs_of, limit):
+    """The largest source is used once; others as often as the limit, their empty documents in
+    whole epochs only."""
+    big = [(i, "w " * 30 if i < 40 else "", "en", "big", 0) for i in range(80)]
+    small = [(100 + i, "w " * 10 if i < 20 else None, "en", "small", 0) for i in range(30)]
+    none = [(200 + i, " ", "en", "none", 0) for i in range(5)]
+    got = Counter(r.doc_id for r in mixing.mix(docs_of(big + small + none), max_repetition=limit).collect())
+    assert all(got[i] == 1 for i in [*range(80), *range(200, 205)])
+    assert all(got[100 + i] == int(limit) for i in range(20, 30))
+    assert sum(10 * got[100 + i] for i in range(20)) == pytest.approx(200 * limit, abs=10)
+
+
 def brute_neighbours(ids, x, is_query, k):
     out = {}
     for i in np.flatnonzero(is_query):
@@ -220,12 +234,12 @@ def brute_neighbours(ids, x, is_query, k):
 
 
 def test_ann_recall_and_scores(spark):
-    rows = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").where("vec_id < 4000")
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     t = rows.toPandas()
     ids, x = t.vec_id.to_numpy(), np.stack(t.embedding).astype(np.float64)
     want = brute_neighbours(ids, x, ids % 20 == 0, 20)
     got = {}
-    for r in ann.nearest_neighbours(rows, F.col("id") % 20 == 0, shard_size=1500, query_block=64).orderBy("query_id", "rank").collect():
+    for r in ann.nearest_neighbours(rows, F.col("id") % 20 == 0, shard_size=300, query_block=64).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score, r["rank"]))
     place = {int(v): i for i, v in enumerate(ids)}
     hits = 0
@@ -252,7 +266,12 @@ def test_ann_copies_norms_and_edges(spark):
     assert got.keys() == want.keys()
     same = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
     assert same >= 0.98 * 20 * len(want)
-    assert [v for v, _ in got[300]][:19] == list(range(301, 320))
+    assert got[300] == [(v, pytest.approx(s, abs=1e-9)) for v, s in want[300]]
+    alike = [(i, [3.0] * 8) for i in range(60)] + [(60 + i, [0.1] * 8) for i in range(60)]  # a query's copies are its nearest
+    df = spark.createDataFrame(alike, "vec_id bigint, embedding array<float>")
+    found = rows_of(ann.nearest_neighbours(df, F.col("id") % 20 == 0, shard_size=50))
+    for q in range(0, 60, 20):
+        assert [r[2] for r in sorted(found) if r[0] == q] == [i for i in range(60) if i != q][:20]
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id bigint, embedding array<float>")
     assert rows_of(ann.nearest_neighbours(few, F.col("id") % 20 == 0)) == [(0, 1, 1, 0.5)]
     assert rows_of(ann.nearest_neighbours(few.where("false"), F.col("id") >= 0)) == []

@@ -46,6 +46,32 @@ def generate(spark, d):
     return g.select("run_id", "id", GN.clean_generation("generation", "prompt", hosted).alias("pred"))
 
 
+class _Failing:
+    """Refuses batches that hold a prompt of some length, as a service over its limit would."""
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        if any(len(p) % 509 == 0 for p in prompts):
+            raise TimeoutError("over the limit")
+        return GN.EchoPredictor(ECHO_K)(prompts)
+
+
+@register("generate_resumed", "WITH " + fx.PAIRS_SQL + f"""
+SELECT (conv_id % 7)::BIGINT AS run_id, pair_id AS idx, {_echo('question')} AS generation, 'ok' AS status FROM pairs""", "G1")
+def generate_resumed(spark, d):
+    """A first call that answers what it can and records what failed; a second one with the same
+    log, and a predictor that works, asks for the rest only."""
+    import uuid
+
+    from groundeval.operators.generation_log import generate_logged
+    from groundeval.session import checkpoint_dir
+
+    p = fx.pairs(spark, d).select((F.col("conv_id") % 7).cast("long").alias("run_id"), F.col("pair_id").alias("idx"), F.col("question").alias("prompt"))
+    log = f"{checkpoint_dir(spark)}/generation-{uuid.uuid4().hex}"
+    generate_logged(p, _Failing, log, max_attempts=1)
+    g = generate_logged(p, lambda: GN.EchoPredictor(ECHO_K), log, max_attempts=2)
+    return g.select("run_id", "idx", "generation", "status")
+
+
 _TWO_SQL = QG._RENDER_SQL + f""",
 t1 AS (SELECT run_id, id, p1, p2, {D.strip(f"replace({_echo('p1')}, p1, '')")} AS a FROM rd WHERE NOT single),
 t2 AS (SELECT run_id, id, a, replace(p2, 'ANSWER', a) AS p2f FROM t1)

@@ -142,3 +142,42 @@ def read_registry(spark, d):
     W.write_jsonl(p.select(pid, F.col("response").alias("title")), f"{root}/b.jsonl")
     groups = [{"qa": f"{root}/a.jsonl", "dialogue": f"{root}/a.jsonl"}, {"dialogue": f"{root}/b.jsonl"}]
     return RD.read_registry(spark, groups, "id string, title string").select("dataset", "id", "title")
+
+
+@register("file_ordinals", """
+SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS ordinal, doc_id, 'parquet' AS fmt FROM documents
+UNION ALL SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT, doc_id, 'json' FROM documents""", ("W1", "B5"))
+def file_ordinals(spark, d):
+    """Row numbers of files in path order, for tables written in the order of ``doc_id``."""
+    from groundeval.operators.ordinal import file_ordinal
+
+    root = _scratch(spark, "ordinals")
+    docs = fx.table(spark, d, "documents").repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id")
+    docs.write.parquet(f"{root}/parquet")
+    docs.write.json(f"{root}/json")
+    read = {"parquet": spark.read.parquet(f"{root}/parquet"), "json": spark.read.schema("doc_id long, text string").json(f"{root}/json")}
+    parts = [file_ordinal(df, fmt=fmt).select("ordinal", "doc_id", F.lit(fmt).alias("fmt")) for fmt, df in read.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@register("read_keyed_objects", """
+SELECT CAST(doc_id AS VARCHAR) AS id, text AS QUESTION, [source, lang] AS CONTEXTS, 'a, {"b": [' || n_chars || ']}' AS final_decision
+FROM documents""", ("A6", "M5"))
+def read_keyed_objects(spark, d):
+    """Pretty-printed objects, one a file, with whole texts inside; cut into entries by many tasks."""
+    decision = F.concat(F.lit('a, {"b": ['), F.col("n_chars").cast("string"), F.lit("]}"))
+    doc = fx.table(spark, d, "documents").select("doc_id", F.col("text").alias("QUESTION"), F.array("source", "lang").alias("CONTEXTS"), decision.alias("final_decision"))
+    path = _scratch(spark, "objects")
+    W.write_keyed_objects(doc, path, "doc_id", files=2)
+    return RD.read_keyed_json(spark, path, T.StructType(list(doc.schema.fields[1:])))
+
+
+@register("read_multiline_csv", "WITH " + fx.PAIRS_SQL + """
+SELECT CAST(pair_id AS VARCHAR) AS id, question AS title, response AS answer, golds FROM pairs""", ("A2", "A12"))
+def read_multiline_csv(spark, d):
+    """Whole responses, with their line breaks and quotes, as CSV fields."""
+    p = fx.pairs(spark, d).select(F.col("pair_id").alias("_c0"), F.col("pair_id").cast("string").alias("id"), F.col("question").alias("title"),
+                                  F.col("response").alias("answer"), F.to_json("golds").alias("golds"))
+    path = _scratch(spark, "lines")
+    W.write_table(p, path, fmt="csv")
+    return RD.read_indexed_csv(spark, path, {"golds": T.ArrayType(T.StringType())})

@@ -37,7 +37,7 @@ def corpus(spark, d) -> DataFrame:
 
 # --------------------------------------------------------------- question/answer pairs
 # A user turn t and the assistant turn t+1 of the same conversation form one pair.
-# answer      = the first line of the assistant text (all of it if it has one line)
+# answer      = the assistant text on one line (line breaks become spaces)
 # explanation = the assistant text
 # golds       = [user text, assistant text with "an" spelt "un"]; every fourth turn also the answer
 # pair_id     = conv_id * 1000 + t
@@ -46,6 +46,10 @@ def _respelt():
     return F.replace(F.col("response"), F.lit("an"), F.lit("un"))
 
 
+def _one_line():
+    return F.replace(F.col("response"), F.lit("\n"), F.lit(" "))
+
+
 def pairs(spark, d) -> DataFrame:
     c = table(spark, d, "conversations")
     u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
@@ -59,9 +63,9 @@ def pairs(spark, d) -> DataFrame:
         "turn",
         "question",
         "response",
-        F.substring_index("response", "\n", 1).alias("answer"),
+        _one_line().alias("answer"),
         F.col("response").alias("explanation"),
-        F.when(F.col("turn") % 4 == 0, F.array("question", _respelt(), F.substring_index("response", "\n", 1)))
+        F.when(F.col("turn") % 4 == 0, F.array("question", _respelt(), _one_line()))
         .otherwise(F.array("question", _respelt())).alias("golds"),
     )
 
@@ -70,9 +74,9 @@ PAIRS_SQL = """
 pairs AS (
   SELECT (u.conv_id * 1000 + u.turn)::BIGINT AS pair_id, u.conv_id, u.turn,
          u.text AS question, a.text AS response,
-         string_split(a.text, chr(10))[1] AS answer,
+         replace(a.text, chr(10), ' ') AS answer,
          a.text AS explanation,
-         CASE WHEN u.turn % 4 = 0 THEN [u.text, replace(a.text, 'an', 'un'), string_split(a.text, chr(10))[1]]
+         CASE WHEN u.turn % 4 = 0 THEN [u.text, replace(a.text, 'an', 'un'), replace(a.text, chr(10), ' ')]
               ELSE [u.text, replace(a.text, 'an', 'un')] END AS golds
   FROM conversations u JOIN conversations a
     ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
@@ -151,7 +155,7 @@ def configs(spark, d) -> DataFrame:
     k = F.col("s_suppkey")
     return s.select(
         k.cast("long").alias("config_id"),
-        F.when(k % 3 == 0, F.concat(F.lit("You answer as "), F.col("s_name"), F.lit(".\n"))).otherwise(F.lit("")).alias("prompt_before"),
+        F.when(k % 3 == 0, F.concat(F.lit("You answer as "), F.col("s_name"), F.lit(".\n"))).when(k % 7 == 0, F.lit('Quote "')).otherwise(F.lit("")).alias("prompt_before"),
         F.when(k % 2 == 0, F.lit("? ")).otherwise(F.lit("")).alias("prompt_after"),
         F.element_at(F.array(F.lit("gpt3"), F.lit("t5"), F.lit("gpt-j")), (F.col("s_nationkey") % 3 + 1).cast("int")).alias("model_name"),
         F.col("s_name").alias("specific_name"),
@@ -167,7 +171,7 @@ def configs(spark, d) -> DataFrame:
 CONFIGS_SQL = f"""
 configs AS (
   SELECT s_suppkey::BIGINT AS config_id,
-         CASE WHEN s_suppkey % 3 = 0 THEN 'You answer as ' || s_name || '.' || chr(10) ELSE '' END AS prompt_before,
+         CASE WHEN s_suppkey % 3 = 0 THEN 'You answer as ' || s_name || '.' || chr(10) WHEN s_suppkey % 7 = 0 THEN 'Quote "' ELSE '' END AS prompt_before,
          CASE WHEN s_suppkey % 2 = 0 THEN '? ' ELSE '' END AS prompt_after,
          (['gpt3', 't5', 'gpt-j'])[s_nationkey % 3 + 1] AS model_name,
          s_name AS specific_name,
@@ -184,10 +188,11 @@ def prompts(spark, d) -> DataFrame:
     """One prompt per nation, grouped in sets by region."""
     n = table(spark, d, "nation")
     k = F.col("n_nationkey")
+    text = F.when(k % 4 == 3, F.concat(F.lit("\nRespond to this question using the sources of "), F.col("n_name"), F.lit(".")))
     return n.select(
         F.col("n_regionkey").cast("long").alias("prompt_set"),
         k.cast("long").alias("prompt_id"),
-        F.concat(F.lit("\nAnswer according to "), F.col("n_name"), F.lit(".")).alias("prompt"),
+        text.otherwise(F.concat(F.lit("\nAnswer according to "), F.col("n_name"), F.lit("."))).alias("prompt"),
         F.element_at(F.array(F.lit("before"), F.lit("after"), F.lit("other")), (k % 3 + 1).cast("int")).alias("location"),
         F.when(k % 2 == 0, F.lit("before")).otherwise(F.lit("after")).alias("location_specific"),
     )
@@ -196,7 +201,7 @@ def prompts(spark, d) -> DataFrame:
 PROMPTS_SQL = """
 prompts AS (
   SELECT n_regionkey::BIGINT AS prompt_set, n_nationkey::BIGINT AS prompt_id,
-         chr(10) || 'Answer according to ' || n_name || '.' AS prompt,
+         chr(10) || CASE WHEN n_nationkey % 4 = 3 THEN 'Respond to this question using the sources of ' ELSE 'Answer according to ' END || n_name || '.' AS prompt,
          (['before', 'after', 'other'])[n_nationkey % 3 + 1] AS location,
          CASE WHEN n_nationkey % 2 = 0 THEN 'before' ELSE 'after' END AS location_specific
   FROM nation

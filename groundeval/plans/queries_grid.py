@@ -125,7 +125,7 @@ lab AS (SELECT config_id, prompt_id, prompt_key,
 SELECT config_id, prompt_id,
        CASE WHEN contains(prompt_key, {D.lit(P.ATTRIBUTION_SENTENCE)}) THEN {D.lit(P.ATTRIBUTION_SENTENCE)} ELSE 'null' END AS attribution,
        CASE WHEN stripped = '{{{{ QUESTION }}}}' THEN 'Null' ELSE 'Grounded' END AS null_vs_grounded,
-       CASE WHEN contains(prompt_key, 'according to') THEN 'Grounded' ELSE 'Null' END AS marker_label,
+       CASE WHEN contains(prompt_key, {D.lit(P.GROUNDED_MARKER)}) THEN 'Grounded' ELSE 'Null' END AS marker_label,
        CASE WHEN d = '' THEN {D.lit(P.NULL_PROMPT_TEXT)} ELSE {D.strip('d')} END AS display
 FROM (SELECT *, replace({D.strip("replace(stripped, '\\n', ' ')")}, '{{{{ QUESTION }}}}', '') AS d FROM lab)""", ("B18", "B19"))
 def prompt_label(spark, d):
@@ -134,6 +134,6 @@ def prompt_label(spark, d):
         "config_id", "prompt_id",
         P.attribution_label("prompt_key").alias("attribution"),
         P.null_vs_grounded("stripped").alias("null_vs_grounded"),
-        F.when(F.col("prompt_key").contains("according to"), F.lit("Grounded")).otherwise(F.lit("Null")).alias("marker_label"),
+        P.grounded_marker_label("prompt_key").alias("marker_label"),
         P.display_text("stripped").alias("display"),
     )

@@ -172,3 +172,25 @@ def test_format_fixed1_matches_python(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = [r[0] for r in df.select(format_fixed1("x")).collect()]
     assert got == ["%.1f" % v for v in vals]
+
+
+def test_round_half_even_matches_python(spark):
+    import math
+    import random
+
+    from groundeval.functions.format import round_half_even
+
+    rnd = random.Random(6)
+    vals = [0.0625, 0.1875, 0.0005, 0.0015, 1.0005, 2.6745, 2.6755, -0.0625, 0.0, 1 / 3, 99.9995, 12345.6785, 0.2125]
+    vals += [rnd.uniform(-2, 2) for _ in range(3000)] + [rnd.randint(0, 64) / rnd.choice([16, 48, 80, 2000]) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in [*vals, None, float("nan"), float("inf")]], "x double")
+    got = [r[0] for r in df.select(round_half_even("x")).collect()]
+    assert got[:-3] == [round(v, 3) for v in vals]
+    assert got[-3] is None and math.isnan(got[-2]) and got[-1] == float("inf")
+
+
+def test_stored_metrics_of_an_empty_run(spark):
+    scored = spark.createDataFrame([(1, 1.0, 0.5, 1 / 3), (1, 0.0, 0.25, 1 / 3)], "run_id long, em double, f1 double, rougel double")
+    runs = spark.createDataFrame([(1,), (2,), (2,)], "run_id long")
+    got = sorted(tuple(r) for r in M.stored_metrics(scored, runs).collect())
+    assert got == [(1, 0.5, 0.375, 0.333, 2), (2, 0.0, 0.0, 0.0, 0)]

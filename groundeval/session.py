@@ -23,7 +23,9 @@ _LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
-    # Text tables are one parquet file each; small splits give every core work.
+    # Text tables are one parquet file each; small splits give every core work, before a
+    # shuffle and after it.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.files.maxPartitionBytes": str(8 * 1024 * 1024),
 }
 

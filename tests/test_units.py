@@ -142,11 +142,19 @@ def test_rougel_engines_agree(spark):
     from conftest import SF001
 
     p = fx.pairs(spark, SF001)
-    a = M.score_pairs(p).select("pair_id", "rougel")
-    b = M.score_pairs(p, engine="jvm").select("pair_id", "rougel")
+    columns = ["pair_id", "em", "f1", "rougel"]
+    a = M.score_pairs(p).select(*columns)
+    b = M.score_pairs(p, engine="jvm").select(*columns)
     assert sorted(a.collect()) == sorted(b.collect())
 
 
+def test_scores_of_missing_texts(spark):
+    rows = [(1, None, None, ["a"]), (2, "", "", [""]), (3, "x", "x", []), (4, "x", "x", None), (5, "a the X!", "x y", [None, "x", "y x y"])]
+    df = spark.createDataFrame(rows, "k int, answer string, explanation string, golds array<string>")
+    got = {r.k: (r.em, r.f1, r.rougel) for r in M.score_pairs(df).collect()}
+    assert got == {1: (0.0, 0.0, 0.0), 2: (1.0, 0.0, 0.0), 3: (None,) * 3, 4: (None,) * 3, 5: (1.0, 1.0, 0.8)}
+
+
 def test_bleu_engines_agree(spark):
     from groundeval.plans import fixtures as fx
 

@@ -293,11 +293,19 @@ FROM sc JOIN ovp ON sc.run_id = ovp.run_id AND sc.pair_id = ovp.pair_id GROUP BY
 
 @register("run_record", _RECORD_SQL, ("A9", "G3"))
 def run_record(spark, d):
-    """The lists of the stored result record, out of the nested record that ``run_results``
-    builds for export."""
-    preds = _eval_source(spark, d)
-    corpus = fx.corpus(spark, d)
-    rec = EV.run_results(EV.score_rows(preds, corpus), EV.evaluate(preds, corpus), key="pair_id")
+    """The lists of the result record, written with the runs as files and read back."""
+    import uuid
+
+    from groundeval.session import checkpoint_dir
+    from groundeval.sources import readers as RD
+    from groundeval.sources import writers as W
+
+    src, corpus = _eval_source(spark, d).withColumnRenamed("pair_id", "idx"), fx.corpus(spark, d)
+    runs = src.groupBy("run_id").agg(F.struct(F.min("dataset_name").alias("dataset"), F.min("output_format").alias("output_format")).alias("params"))
+    preds = src.select("run_id", "idx", F.lit("").alias("question"), "pred", F.col("golds").alias("refs"), F.col("provenance").alias("provenances"))
+    path = f"{checkpoint_dir(spark)}/records-{uuid.uuid4().hex}"
+    W.write_runs(preds, runs, path, scores=EV.score_rows(src, corpus, key="idx"), summary=EV.evaluate(src, corpus, key="idx"))
+    rec = RD.read_runs(spark, path)
     one = lambda t: rec.where(F.col(f"results.{t}").isNotNull()).select(
         "run_id", F.lit(t).alias("target"), *[F.col(f"results.{t}.{m}_list").alias(f"{m}_list") for m in ("em", "f1", "rougel")],
         F.col("results.datasketch.percent_overlap_list").alias("percent_overlap_list"))

@@ -100,6 +100,29 @@ def test_runs_are_written_line_by_line(spark, tmp_path):
         assert [doc["questions"], doc["pred"], doc["refs"], doc["provenances"]] == [[x[c] for x in own] for c in (2, 3, 4, 5)]
 
 
+def test_results_are_written_from_the_score_table(spark, tmp_path):
+    preds = spark.createDataFrame([(r, i, "q", f"p{i}", ["r"], ["w"]) for r in (1, 2) for i in range(30)],
+                                  "run_id long, idx long, question string, pred string, refs array<string>, provenances array<string>")
+    rows = [(r, i, t, float(i % 2), i / 7, None if i == 4 else 0.1 * r, i / 30 if t == "answers" else None)
+            for r in (1, 2) for i in range(30) for t in ("answers", "provenance") if r == 1 or t == "answers"]
+    scores = spark.createDataFrame(rows, "run_id long, idx long, target string, em double, f1 double, rougel double, overlap double")
+    means = [(1, "answers", 0.5, 0.25, 0.1, 3.5, 0.75), (1, "provenance", 0.5, 0.25, 0.1, None, None), (2, "answers", 1.0, 1.0, 1.0, 100.0, None)]
+    summary = spark.createDataFrame(means, "run_id long, target string, em double, f1 double, rougel double, bleu double, avg_percent_overlap double")
+    runs = spark.createDataFrame([(1, ("d",)), (2, ("e",)), (3, ("f",))], "run_id long, params struct<dataset: string>")
+    W.write_runs(preds, runs, str(tmp_path / "runs"), scores=scores, summary=summary)
+    docs = {d["run_id"]: d for d in (json.loads(p.read_text()) for p in (tmp_path / "runs").rglob("part-*"))}
+    assert sorted(docs) == [1, 2] and docs[1]["pred"] == [f"p{i}" for i in range(30)]
+    for r, t in ((1, "answers"), (1, "provenance"), (2, "answers")):
+        own, got = sorted(x for x in rows if x[0] == r and x[2] == t), docs[r]["results"][t]
+        assert [got["em_list"], got["f1_list"], got["rougel_list"]] == [[x[c] for x in own] for c in (3, 4, 5)]
+        mean = next(m for m in means if m[:2] == (r, t))
+        assert (got["em"], got["f1"], got["rougel"], got.get("bleu")) == mean[2:6]
+    assert "provenance" not in docs[2]["results"]
+    assert docs[1]["results"]["datasketch"] == {"avg_percent_overlap": 0.75, "percent_overlap_list": [i / 30 for i in range(30)]}
+    back = {r.run_id: r for r in RD.read_runs(spark, str(tmp_path / "runs")).collect()}
+    assert back[1].results.answers.em_list == [float(i % 2) for i in range(30)] and back[2].results.provenance is None
+
+
 def test_a_failed_write_leaves_no_run(spark, tmp_path):
     preds = spark.range(50).select((F.col("id") % 5).alias("run_id"), "id", F.lit("q").alias("question"),
                                    F.when(F.col("id") == 48, F.raise_error(F.lit("lost"))).otherwise(F.lit("p")).cast("string").alias("pred"),

@@ -39,14 +39,16 @@ def running_total(df: DataFrame, amount: Column, name: str) -> DataFrame:
     return out.join(before, _RANGE).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
 
 
-def joined(df: DataFrame, ends: Column, sep: str) -> DataFrame:
-    """``(file, record, text, last)``: pieces up to each one that ``ends`` a record, put together;
-    records are numbered from 0 in a file, ``last`` marks its end."""
-    done = running_total(df, ends.cast("long"), "_ended").withColumn("record", F.col("_ended") - ends.cast("long"))
+def joined(df: DataFrame, marks: DataFrame, ends: Column, sep: str) -> DataFrame:
+    """``(file, record, text, last)``: the pieces of ``df`` up to each one that ``ends`` a record, put
+    together; records are numbered from 0 in a file, ``last`` marks its end.  ``marks`` has the
+    pieces' running totals without their text, which moves only when records are put together."""
+    done = running_total(marks.withColumn("_end", ends.cast("long")), F.col("_end"), "_ended")
+    numbered = done.select(*_RANGE, "_seq", (F.col("_ended") - F.col("_end")).alias("record"))
     whole = F.array_sort(F.collect_list(F.struct("_start", "_seq", "value")))
-    out = done.groupBy("_file", "record").agg(F.array_join(F.transform(whole, lambda x: x["value"]), sep).alias("text"))
-    marks = out.groupBy("_file").agg(F.max("record").alias("_last"))
-    return out.join(marks, "_file").select(F.col("_file").alias("file"), "record", "text", (F.col("record") == F.col("_last")).alias("last"))
+    out = df.join(numbered, [*_RANGE, "_seq"]).groupBy("_file", "record").agg(F.array_join(F.transform(whole, lambda x: x["value"]), sep).alias("text"))
+    final = numbered.groupBy("_file").agg(F.max("record").alias("_last"))
+    return out.join(final, "_file").select(F.col("_file").alias("file"), "record", "text", (F.col("record") == F.col("_last")).alias("last"))
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -56,8 +58,9 @@ def _count(text: Column, chars: str) -> Column:
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """``(file, record, text, last)``: rows of CSV text, line breaks inside double quotes kept.
     Quotes are doubled inside quoted fields and do not occur in others."""
-    df = running_total(pieces(spark, path, "\n"), _count(F.col("value"), '"').cast("long"), "_quotes")
-    out = joined(df, F.col("_quotes") % 2 == 0, "\n")
+    df = pieces(spark, path, "\n")
+    marks = df.select(*_RANGE, "_seq", _count(F.col("value"), '"').cast("long").alias("_q"))
+    out = joined(df, running_total(marks, F.col("_q"), "_quotes"), F.col("_quotes") % 2 == 0, "\n")
     return out.withColumn("text", F.regexp_replace("text", "\r$", "")).where("text != ''")
 
 
@@ -82,11 +85,11 @@ def json_entries(spark: SparkSession, path: str) -> DataFrame:
     depth = lambda odd: F.aggregate(
         F.filter(parts, lambda _, i: i % 2 == odd), F.lit(0).cast("long"), lambda s, p: s + _count(p, "{[") - _count(p, "}]")
     )
-    df = df.withColumn("_q", (F.size(parts) - 1).cast("long")).withColumn("_outside", depth(0)).withColumn("_inside", depth(1))
-    df = running_total(df, F.col("_q"), "_quotes")
+    marks = df.select(*_RANGE, "_seq", (F.size(parts) - 1).cast("long").alias("_q"), depth(0).alias("_outside"), depth(1).alias("_inside"))
+    marks = running_total(marks, F.col("_q"), "_quotes")
     opened = F.when((F.col("_quotes") - F.col("_q")) % 2 == 0, F.col("_outside")).otherwise(F.col("_inside"))
-    df = running_total(df, opened, "_depth")
-    out = joined(df, (F.col("_quotes") % 2 == 0) & (F.col("_depth") <= 1), ",")
+    marks = cut_lineage(running_total(marks, opened, "_depth").select(*_RANGE, "_seq", "_quotes", "_depth"))
+    out = joined(df, marks, (F.col("_quotes") % 2 == 0) & (F.col("_depth") <= 1), ",")
     text = F.when(F.col("record") == 0, F.regexp_replace("text", r"^[\s\x{FEFF}]*\{", "")).otherwise(F.col("text"))
     text = F.when(F.col("last"), F.regexp_replace(text, r"\}\s*$", "")).otherwise(text)
     return out.withColumn("text", text).where(F.trim(F.regexp_replace("text", r"\s", "")) != "")

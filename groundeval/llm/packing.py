@@ -56,16 +56,26 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def id_width(tokenizer_file: str, end_id: int) -> str:
+    """The narrowest unsigned integers that hold all ids of a tokenizer: 16 or 32 bits."""
+    from tokenizers import Tokenizer
+
+    top = max([end_id, *Tokenizer.from_file(tokenizer_file).get_vocab(with_added_tokens=True).values()])
+    return "<u2" if top < 1 << 16 else "<u4"
+
+
 class Encoder:
-    """Token ids of texts with ``tokenizer_file``, as little-endian unsigned 32-bit integers.
+    """Token ids of texts with ``tokenizer_file``, as little-endian unsigned integers of type ``width``.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its
     words' ids in a row; each distinct word is encoded once per task.  ``word_level=False``
     encodes whole texts instead, for vocabularies that do not drop white space."""
 
-    def __init__(self, tokenizer_file: str, word_level: bool = True):
+    def __init__(self, tokenizer_file: str, word_level: bool = True, width: str = "<u4"):
         from tokenizers import Tokenizer
 
+        self.width, self.code = width, {"<u2": "H", "<u4": "I"}[width]
+
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.model, self.symbols = self.tokenizer.model, byte_symbols()
         self.word_level = word_level
@@ -73,7 +83,7 @@ class Encoder:
         self.words = WordTable(self._word, 800_000)
 
     def _full(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
@@ -84,7 +94,7 @@ class Encoder:
             inner = stem.lower().encode().decode("latin-1").translate(self.symbols)
         else:
             return self._full(text)
-        ids = array("I", [t.id for t in self.model.tokenize(inner)]).tobytes()
+        ids = array(self.code, [t.id for t in self.model.tokenize(inner)]).tobytes()
         return ids if len(stem) == len(text) else ids + self.marks[text[len(stem) :]]
 
     def encode(self, text: str | None) -> bytes:
@@ -94,14 +104,14 @@ class Encoder:
         return b"".join([words[w] for w in as_bytes(text).split()])
 
 
-def worker_encoder(tokenizer_file: str, word_level: bool) -> Encoder:
+def worker_encoder(tokenizer_file: str, word_level: bool, width: str) -> Encoder:
     """One encoder for all tasks of a Python worker, so that a word met in one shard need not
     be encoded again in the next; its table is bounded.  Functions are sent to workers by
     value, so the worker-wide place is a module made there."""
     shared = sys.modules.setdefault("groundeval_worker_encoders", types.ModuleType("groundeval_worker_encoders"))
-    key = f"{tokenizer_file}|{word_level}"
+    key = f"{tokenizer_file}|{word_level}|{width}"
     if not hasattr(shared, key):
-        setattr(shared, key, Encoder(tokenizer_file, word_level))
+        setattr(shared, key, Encoder(tokenizer_file, word_level, width))
     return getattr(shared, key)
 
 
@@ -124,11 +134,11 @@ def term_counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return (pair >> 32).astype(np.int32), pair & 0xFFFFFFFF, tf
 
 
-def id_batches(blobs: pa.Array, most: int = 200_000) -> Iterator[list[np.ndarray]]:
+def id_batches(blobs: pa.Array, width: str, most: int = 200_000) -> Iterator[list[np.ndarray]]:
     """The id arrays of binary values, about ``most`` ids at a time."""
     part, total = [], 0
     for x in blobs:
-        part.append(np.frombuffer(x.as_buffer(), dtype="<u4").astype(np.int64))
+        part.append(np.frombuffer(x.as_buffer(), dtype=width).astype(np.int64))
         total += len(part[-1])
         if total >= most:
             yield part
@@ -137,13 +147,13 @@ def id_batches(blobs: pa.Array, most: int = 200_000) -> Iterator[list[np.ndarray
         yield part
 
 
-def corpus_stats(encoded: DataFrame) -> Stats:
+def corpus_stats(encoded: DataFrame, width: str) -> Stats:
     """``Stats`` of the column ``ids``; as many rows as the vocabulary has come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, total = np.zeros(1, dtype=np.int64), 0, 0
         for b in batches:
-            for docs in id_batches(b.column(0)):
+            for docs in id_batches(b.column(0), width):
                 got = np.bincount(term_counts(docs)[1])
                 if len(got) > len(df):
                     df = np.pad(df, (0, len(got) - len(df)))
@@ -166,8 +176,8 @@ class Dealer:
     weights (spherical k-means) and puts them in an order in which neighbours are alike;
     ``place`` gives a document's cluster and range of one more projection."""
 
-    def __init__(self, stats: Stats, seed: int = 1):
-        self.stats, self.seed = stats, seed
+    def __init__(self, stats: Stats, width: str = "<u4", seed: int = 1):
+        self.stats, self.width, self.seed = stats, width, seed
         self.centres = np.zeros((1, DIMS), dtype=np.float32)
 
     def prepare(self) -> None:
@@ -204,7 +214,7 @@ class Dealer:
     def place(self, blobs: pa.Array) -> np.ndarray:
         """``cluster * SLOTS + range`` of each document."""
         out = [np.zeros(0, dtype=np.int64)]
-        for docs in id_batches(blobs):
+        for docs in id_batches(blobs, self.width):
             x = self.vectors(docs)
             slot = np.clip(np.floor((x @ self.across) * (SLOTS / 8)) + SLOTS // 2, 0, SLOTS - 1)
             out.append((x @ self.centres.T).argmax(axis=1) * SLOTS + slot.astype(np.int64))
@@ -233,14 +243,14 @@ def fill_shards(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray,
     return first, spread, shard + (room < limit)
 
 
-def deal(encoded: DataFrame, stats: Stats, shard_chars: int) -> DataFrame:
+def deal(encoded: DataFrame, stats: Stats, shard_chars: int, width: str) -> DataFrame:
     """``(shard, id, ids)`` of ``encoded(id, ids, size)``."""
     kind = encoded.schema["id"].dataType.simpleString()
     total = encoded.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // shard_chars))
     if shards == 1:
         return encoded.select(F.lit(0).cast("bigint").alias("shard"), "id", "ids")
-    dealer, cells = Dealer(stats), min(2 * shards, MAX_CELLS)
+    dealer, cells = Dealer(stats, width), min(2 * shards, MAX_CELLS)
     # the documents clusters are learned from: distinct ones, so that copies do not make many
     keyed = encoded.select(F.xxhash64("ids").alias("h"), "ids")
     some = keyed.where(F.pmod("h", F.lit(max(1, stats.n // (PER_CELL * cells)))) == 0).dropDuplicates(["h"])
@@ -248,7 +258,7 @@ def deal(encoded: DataFrame, stats: Stats, shard_chars: int) -> DataFrame:
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer.prepare()
         for b in batches:
-            vectors = [v.tobytes() for docs in id_batches(b.column(1)) for v in dealer.vectors(docs)]
+            vectors = [v.tobytes() for docs in id_batches(b.column(1), width) for v in dealer.vectors(docs)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vectors, pa.binary())], names=["h", "v"])
 
     got = some.mapInArrow(project, "h bigint, v binary").toArrow().sort_by("h")
@@ -399,10 +409,11 @@ def pack(
         raise ValueError("size must be a power of two")
     kind = docs.schema[id_col].dataType.simpleString()
     flat = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    end = np.array([end_id], dtype="<u4").tobytes()
+    width = id_width(tokenizer_file, end_id)
+    each, end = np.dtype(width).itemsize, np.array([end_id], dtype=width).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(tokenizer_file, word_level)
+        encoder = worker_encoder(tokenizer_file, word_level, width)
         for b in batches:
             blobs = [encoder.encode(t) + end for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary()), b.column(2)], names=["id", "ids", "size"])
@@ -411,8 +422,8 @@ def pack(
     encoded = flat.mapInArrow(encode, f"id {kind}, ids binary, size bigint")
     # the row number tells apart rows that repeat an identifier and a text
     encoded = cut_lineage(encoded.withColumn("row", F.monotonically_increasing_id()))
-    stats = corpus_stats(encoded)
-    dealt = deal(encoded, stats, shard_chars)
+    stats = corpus_stats(encoded, width)
+    dealt = deal(encoded, stats, shard_chars, width)
 
     def pack_group(key, rows: Iterator[pa.RecordBatch]):
         shard = key[0].as_py()
@@ -423,7 +434,7 @@ def pack(
         # order by content, so that the result does not depend on the order of arrival
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0, blobs[i]))
         ids, blobs = [ids[i] for i in order], [blobs[i] for i in order]
-        pieces = pack_shard([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in blobs], size, query_terms, stats)
+        pieces = pack_shard([np.frombuffer(x, dtype=width).astype(np.int32) for x in blobs], size, query_terms, stats)
         base = shard << 32
         for lo in range(0, len(pieces), 5000):
             part = pieces[lo : lo + 5000]
@@ -432,8 +443,8 @@ def pack(
                     "id": pa.array([ids[p[0]] for p in part], rows_type),
                     "start": pa.array([p[1] for p in part], pa.int64()),
                     "length": pa.array([p[2] for p in part], pa.int64()),
-                    "ids": pa.array([blobs[p[0]][4 * p[1] : 4 * (p[1] + p[2])] for p in part], pa.binary()),
-                    "doc_tokens": pa.array([len(blobs[p[0]]) // 4 for p in part], pa.int64()),
+                    "ids": pa.array([np.frombuffer(blobs[p[0]], width, p[2], each * p[1]).astype("<u4").tobytes() for p in part], pa.binary()),
+                    "doc_tokens": pa.array([len(blobs[p[0]]) // each for p in part], pa.int64()),
                     "sequence_id": pa.array([base + p[3] for p in part], pa.int64()),
                     "offset": pa.array([p[4] for p in part], pa.int64()),
                 }

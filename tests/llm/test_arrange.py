@@ -141,7 +141,7 @@ def test_scores_use_counts_of_all_documents(spark, docs_of):
     encoder = packing.Encoder(file)
     ids = [np.frombuffer(encoder.encode(t), dtype="<u4").astype(np.int64) for _, t in rows]
     df = spark.createDataFrame([(i, bytearray(x.astype("<u4").tobytes())) for i, x in enumerate(ids)], "id bigint, ids binary").repartition(5)
-    stats = packing.corpus_stats(df)
+    stats = packing.corpus_stats(df, "<u4")
     assert stats.n == 200 and stats.mean == pytest.approx(np.mean([len(x) for x in ids]))
     want = np.bincount(np.concatenate([np.unique(x) for x in ids]))
     assert (stats.df == want).all()

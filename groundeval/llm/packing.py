@@ -43,9 +43,10 @@ from groundeval.llm.common import WordTable, as_bytes, cut_lineage, mix
 SIMPLE = re.compile("[a-zA-ZÀ-ÖØ-öø-įı-ſ]+")
 MARKS = ".,;:!?#$%&*()-+=/|~"
 K1, B = 1.2, 0.75
-#: Numbers a document's BM25 weights are projected to; most clusters (above, they are split by
-#: ``SLOTS`` ranges of one more projection each); documents a cluster is learned from.
-DIMS, MAX_CELLS, SLOTS, PER_CELL = 128, 4096, 64, 32
+#: Numbers a document's BM25 weights are projected to, and how many of them a term is added to
+#: (a sparse random projection); most clusters (above, they are split by ``SLOTS`` ranges of one
+#: more projection each); documents a cluster is learned from.
+DIMS, SPREAD, MAX_CELLS, SLOTS, PER_CELL = 128, 8, 4096, 64, 32
 
 
 def byte_symbols() -> dict[int, str]:
@@ -183,15 +184,17 @@ class Dealer:
     def prepare(self) -> None:
         rng = np.random.default_rng(self.seed)
         self.idf = self.stats.idf()
-        self.basis = rng.standard_normal((len(self.idf), DIMS), dtype=np.float32)
+        self.dims = rng.integers(0, DIMS, (len(self.idf), SPREAD))
+        self.signs = rng.choice(np.array([-1.0, 1.0], dtype=np.float32), (len(self.idf), SPREAD))
         self.across = rng.standard_normal(DIMS, dtype=np.float32)
 
     def vectors(self, docs: list[np.ndarray]) -> np.ndarray:
         doc, term, tf = term_counts(docs)
         length = np.array([len(d) for d in docs], dtype=np.float32)
         weight = (self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / self.stats.mean))).astype(np.float32)
-        start = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1])
-        out = np.add.reduceat(self.basis[term] * weight[:, None], start, axis=0)  # no document is without ids
+        at = (doc.astype(np.int64) * DIMS)[:, None] + self.dims[term]
+        out = np.bincount(at.ravel(), weights=(weight[:, None] * self.signs[term]).ravel(), minlength=len(docs) * DIMS)
+        out = out.reshape(len(docs), DIMS).astype(np.float32)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     def learn(self, x: np.ndarray, cells: int, rounds: int = 8) -> None:

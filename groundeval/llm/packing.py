@@ -10,8 +10,8 @@ packs:
 
 * the next unused document opens a window; if it is longer than the room left it is cut and
   goes on in the following windows;
-* while there is room, the unused documents nearest to the seed by BM25 (the query is the
-  seed's ``query_terms`` heaviest terms; ties by position) are appended, cut where the
+* while there is room, the unused documents nearest to the seed by BM25 (the query is all the
+  seed's terms; ties by position) are appended, cut where the
   window ends; the rest of a cut document opens the next window and is its seed;
 * a seed without unused neighbours is followed by the next unused document.
 
@@ -47,6 +47,7 @@ K1, B = 1.2, 0.75
 #: (a sparse random projection); most clusters (above, they are split by ``SLOTS`` ranges of one
 #: more projection each); documents a cluster is learned from.
 DIMS, SPREAD, MAX_CELLS, SLOTS, PER_CELL = 128, 8, 4096, 64, 32
+DENSE = 1 << 23  # weights of common terms that an index holds as a matrix
 
 
 def byte_symbols() -> dict[int, str]:
@@ -294,44 +295,46 @@ def deal(encoded: DataFrame, stats: Stats, shard_chars: int, width: str) -> Data
 
 
 class Bm25:
-    """Inverted index over documents given as id arrays; ``stats`` default to their own."""
+    """Inverted index over documents given as id arrays; ``stats`` default to their own.  A query is
+    all terms of its document.  Terms that many documents have are rows of a dense matrix
+    (``DENSE`` weights at most), the others posting lists; both are summed in full."""
 
-    def __init__(self, docs: list[np.ndarray], k1: float = K1, b: float = B, query_terms: int = 24, stats: Stats | None = None):
+    def __init__(self, docs: list[np.ndarray], k1: float = K1, b: float = B, stats: Stats | None = None):
         n = len(docs)
         terms, tfs = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True) if docs else ((), ())
-        sizes = np.array([len(t) for t in terms], dtype=np.int64)
-        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        doc = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms])
         term = np.concatenate(terms) if n else np.zeros(0, np.int64)
         tf = np.concatenate(tfs).astype(np.float32) if n else np.zeros(0, np.float32)
         length = np.array([len(d) for d in docs], dtype=np.float32)
         df = np.bincount(term, minlength=1)
         stats = stats or Stats(n, max(float(length.mean()), 1.0) if n else 1.0, df)
         weight = stats.idf()[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / np.float32(stats.mean)))
-        # each document's heaviest terms are its query
-        self.queries, at = [], 0
-        for t, size in zip(terms, sizes, strict=True):
-            w = weight[at : at + size]
-            if size > query_terms:  # ties at the edge: smaller ids
-                edge = np.partition(w, size - query_terms)[size - query_terms]
-                t = t[np.concatenate([np.flatnonzero(w > edge), np.flatnonzero(w == edge)])[:query_terms]]
-            self.queries.append(t)
-            at += size
+        common = np.argsort(-df, kind="stable")[: DENSE // max(n, 1)]
+        common = common[df[common] > n / 16]
+        self.row = np.full(len(df), -1, dtype=np.int64)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), n), dtype=np.float32)
+        in_row = self.row[term] >= 0
+        self.dense[self.row[term[in_row]], doc[in_row]] = weight[in_row]
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.start = np.concatenate([[0], np.cumsum(df)]).astype(np.int64)
-        self.n = n
+        self.queries, self.n = terms, n
 
     def scores(self, seed: int) -> np.ndarray:
-        spans = [(self.start[t], self.start[t + 1]) for t in self.queries[seed].tolist()]
-        if not spans:
-            return np.zeros(self.n)
-        docs = np.concatenate([self.doc[a:z] for a, z in spans])
-        return np.bincount(docs, weights=np.concatenate([self.weight[a:z] for a, z in spans]), minlength=self.n)
+        terms = self.queries[seed]
+        rows = self.row[terms]
+        out = self.dense[rows[rows >= 0]].sum(axis=0)
+        spans = [(self.start[t], self.start[t + 1]) for t in terms[rows < 0].tolist()]
+        if spans:
+            docs = np.concatenate([self.doc[a:z] for a, z in spans])
+            out = out + np.bincount(docs, weights=np.concatenate([self.weight[a:z] for a, z in spans]), minlength=self.n)
+        return out
 
 
-def pack_shard(docs: list[np.ndarray], size: int, query_terms: int = 24, stats: Stats | None = None) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], size: int, stats: Stats | None = None) -> list[tuple[int, int, int, int, int]]:
     """``(document, start, length, sequence, offset)`` of each piece, in order."""
-    index = Bm25(docs, query_terms=query_terms, stats=stats)
+    index = Bm25(docs, stats=stats)
     lens = [len(d) for d in docs]
     used = np.zeros(len(docs), dtype=bool)
     pieces: list[tuple[int, int, int, int, int]] = []
@@ -348,9 +351,8 @@ def pack_shard(docs: list[np.ndarray], size: int, query_terms: int = 24, stats:
         else:
             seed, begin = rest
             rest = None
-        queue, ranked = [(seed, begin)], None
-        while queue:
-            doc, at = queue.pop(0)
+        doc, at, score = seed, begin, None
+        while doc is not None:
             take = min(room, lens[doc] - at)
             if take:
                 pieces.append((doc, at, take, window, size - room))
@@ -360,15 +362,12 @@ def pack_shard(docs: list[np.ndarray], size: int, query_terms: int = 24, stats:
                 if at + take < lens[doc]:
                     rest = (doc, at + take)
                 break
-            if not queue:
-                if ranked is None:
-                    score = np.where(used, 0.0, index.scores(seed))
-                    near = np.flatnonzero(score > 0)
-                    ranked = iter(near[np.lexsort((near, -score[near]))].tolist())
-                follow = next(ranked, None)
-                if follow is not None:
-                    used[follow] = True
-                    queue.append((follow, 0))
+            if score is None:
+                score = np.where(used, 0.0, index.scores(seed))
+            near = int(score.argmax())  # of equal ones the first
+            doc, at = (near, 0) if score[near] > 0 else (None, 0)
+            if doc is not None:
+                used[doc], score[doc] = True, 0.0
     if room < size:  # the last window: powers of two need no padding
         whole = [p for p in pieces if p[3] < window]
         tail = [p for p in pieces if p[3] == window]
@@ -396,7 +395,6 @@ def pack(
     size: int = 2048,
     end_id: int = 1,
     shard_chars: int = 12_000_000,
-    query_terms: int = 24,
     word_level: bool = True,
 ) -> DataFrame:
     """One row per piece: ``(<id_col>, start, length, ids, doc_tokens, sequence_id, offset)``.
@@ -437,7 +435,7 @@ def pack(
         # order by content, so that the result does not depend on the order of arrival
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0, blobs[i]))
         ids, blobs = [ids[i] for i in order], [blobs[i] for i in order]
-        pieces = pack_shard([np.frombuffer(x, dtype=width).astype(np.int32) for x in blobs], size, query_terms, stats)
+        pieces = pack_shard([np.frombuffer(x, dtype=width).astype(np.int32) for x in blobs], size, stats)
         base = shard << 32
         for lo in range(0, len(pieces), 5000):
             part = pieces[lo : lo + 5000]

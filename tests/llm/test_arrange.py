@@ -85,7 +85,7 @@ def test_bm25_and_neighbours():
     rng = random.Random(2)
     topics = [rng.sample(range(5 + 200 * t, 205 + 200 * t), 60) for t in range(5)]
     docs = [np.array([rng.choice(topics[i % 5]) for _ in range(40)] + [1]) for i in range(50)]
-    index = packing.Bm25(docs, query_terms=1000)
+    index = packing.Bm25(docs)
     n, mean = len(docs), np.mean([len(d) for d in docs])
     df = {t: sum(t in d for d in docs) for d in docs for t in d.tolist()}
     for seed in (0, 7):
@@ -104,6 +104,51 @@ def test_bm25_and_neighbours():
     assert sum(len(m) for m in mates) <= 10  # windows hold one topic, or two where one runs out
 
 
+def plain_order(docs, size):
+    """The greedy order by itself: each window's seed, then its unused neighbours by plain BM25."""
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    bags = [Counter(d.tolist()) for d in docs]
+    df = Counter(t for bag in bags for t in bag)
+    idf = {t: math.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
+
+    def score(seed, doc):
+        return sum(idf[t] * bags[doc][t] * 2.2 / (bags[doc][t] + 1.2 * (0.25 + 0.75 * len(docs[doc]) / mean)) for t in bags[seed] if t in bags[doc])
+
+    left, order, room, rest = list(range(n)), [], size, None
+    while left or rest:
+        seed, have = rest or (left.pop(0), 0)
+        rest, follow = None, (seed, have)
+        ranked = None
+        while follow:
+            doc, have = follow
+            if not have:
+                order.append(doc)
+            take = min(room, len(docs[doc]) - have)
+            room -= take
+            if room == 0:
+                room = size
+                rest = (doc, have + take) if have + take < len(docs[doc]) else None
+                break
+            ranked = ranked or sorted((-round(score(seed, d), 4), d) for d in left)
+            nearest = next(((d, s) for s, d in ranked if d in left), None)
+            follow = None
+            if nearest and nearest[1] < 0:
+                left.remove(nearest[0])
+                follow = (nearest[0], 0)
+    return order
+
+
+@pytest.mark.parametrize("dense", [0, 1 << 23])
+def test_greedy_order_equals_a_plain_version(monkeypatch, dense):
+    monkeypatch.setattr(packing, "DENSE", dense)  # all posting lists, or common terms as a matrix
+    rng = random.Random(6)
+    for _ in range(6):
+        docs = [np.array([rng.choice(range(40 * (i % 4), 40 * (i % 4) + 60)) for _ in range(rng.randint(1, 90))]) for i in range(60)]
+        docs += [docs[3].copy(), docs[3].copy(), np.array([999]), np.array([998])]  # ties, and documents without neighbours
+        pieces = packing.pack_shard(docs, 128)
+        assert [p[0] for p in pieces if p[1] == 0] == plain_order(docs, 128)
+
+
 def test_neighbours_among_many_shards_share_a_window(spark, docs_of):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))

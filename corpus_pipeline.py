@@ -49,8 +49,8 @@ STAGES = [
     ("packing", stage_packing),
 ]
 
-#: Profiles, sketches and the retrieval order have no SQL form; tests/llm holds the stages
-#: against brute force.
+#: Profiles, sketches and the retrieval order have no SQL form; tests/llm holds the stages'
+#: operators against brute force and runs the whole on planted rows.
 ORACLE_SQL = None
 
 

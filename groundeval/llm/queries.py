@@ -1,7 +1,8 @@
 """The ``opN_<name>`` queries: each applies its operator to its whole table.
 
 ``QUERIES`` maps names to ``fn(spark, sf_dir) -> DataFrame``; ``ORACLE`` holds DuckDB SQL where
-SQL can express the result (the others are tested against brute force in ``tests/llm``).
+SQL can express the result (the others are tested in ``tests/llm``: against brute force, by exact
+round trips, held-out accuracy or, for 9, by behaviour).
 """
 
 from __future__ import annotations

@@ -109,7 +109,7 @@ def pack_run(sorted_hashes: np.ndarray) -> bytes:
     return bytes([width]) + sorted_hashes[:1].astype("<u8").tobytes() + gaps.astype(f"<u{width}").tobytes()
 
 
-def unpack_run(data: bytes) -> np.ndarray:
+def unpack_run(data: bytes | memoryview) -> np.ndarray:
     if len(data) == 1:
         return np.empty(0, dtype=_U64)
     gaps = np.frombuffer(data, dtype=f"<u{data[0]}", offset=9).astype(_U64)

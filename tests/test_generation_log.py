@@ -1,6 +1,8 @@
 """Every prompt is answered once, whatever stops the job."""
 
+import glob
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,13 +13,17 @@ ROWS = [(i % 3, i, None if i == 7 else f"prompt {i}") for i in range(100)]
 SCHEMA = "run_id long, idx long, prompt string"
 
 
-def counting(folder, die_at=None, fail=None):
-    """A predictor that leaves a mark per prompt; takes its worker down at one prompt (once)
-    or raises for some."""
+def counting(folder, die_at=None, fail=None, log=None):
+    """A predictor that leaves a mark per prompt; takes its worker down at one prompt (once, when
+    the log has something) or raises for some."""
 
     def factory():
         def predict(prompts):
             if die_at in prompts and not os.path.exists(f"{folder}/died"):
+                for _ in range(600):
+                    if glob.glob(f"{log}/part-*"):
+                        break
+                    time.sleep(0.1)
                 open(f"{folder}/died", "w").close()
                 os._exit(1)
             if fail and any(fail(p) for p in prompts):
@@ -41,7 +47,7 @@ def test_killed_half_way_and_resumed(spark, tmp_path):
     os.mkdir(folder)
     df = spark.createDataFrame(ROWS, SCHEMA)
     with pytest.raises(Exception):  # local mode gives a task one try
-        GL.generate_logged(df, counting(folder, die_at="prompt 50"), log, batch_size=5)
+        GL.generate_logged(df, counting(folder, die_at="prompt 50", log=log), log, batch_size=5)
     answered = {r.prompt or "empty" for r in GL.read_log(df, ["run_id", "idx"], log).join(df, ["run_id", "idx"]).collect()}
     assert 0 < len(answered) < 100  # tasks that had ended are kept
     before = calls(folder)

@@ -82,7 +82,8 @@ class Encoder:
         self.model, self.symbols = self.tokenizer.model, byte_symbols()
         self.word_level = word_level
         self.marks = WordTable(self._full, 10_000)
-        self.words = WordTable(self._word, 800_000)
+        self.stems = WordTable(self._stem, 300_000)
+        self.words = WordTable(self._word, 700_000)
 
     def _full(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
@@ -96,14 +97,18 @@ class Encoder:
             inner = stem.lower().encode().decode("latin-1").translate(self.symbols)
         else:
             return self._full(text)
-        ids = array(self.code, [t.id for t in self.model.tokenize(inner)]).tobytes()
+        ids = self.stems[inner]
         return ids if len(stem) == len(text) else ids + self.marks[text[len(stem) :]]
 
-    def encode(self, text: str | None) -> bytes:
+    def _stem(self, inner: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(inner)]).tobytes()
+
+    def encode(self, text: str | bytes | None) -> bytes:
+        """The ids of a text, given as such or in UTF-8."""
+        data = text if isinstance(text, bytes) else as_bytes(text)
         if not self.word_level:
-            return self._full(text or "")
-        words = self.words
-        return b"".join([words[w] for w in as_bytes(text).split()])
+            return self._full(data.decode("utf-8", "replace"))
+        return b"".join(map(self.words.__getitem__, data.split()))
 
 
 def worker_encoder(tokenizer_file: str, word_level: bool, width: str) -> Encoder:
@@ -409,7 +414,8 @@ def pack(
     if size < 1 or size & (size - 1):
         raise ValueError("size must be a power of two")
     kind = docs.schema[id_col].dataType.simpleString()
-    flat = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    flat = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text"))  # bytes need no decoding
     width = id_width(tokenizer_file, end_id)
     each, end = np.dtype(width).itemsize, np.array([end_id], dtype=width).tobytes()
 

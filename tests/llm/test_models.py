@@ -241,6 +241,42 @@ def test_byte_model_sums_to_one_even_when_pruned(spark):
             assert (10.0**logp).sum() == pytest.approx(1.0)
 
 
+def test_byte_model_keeps_what_is_rare_among_many_bytes(docs_of):
+    rare = ["qzx", "qzxq", "tuvwxyz", "né"]
+    rows = [(i, "common " * 200_000) for i in range(2)] + [(10 + i, w) for i, w in enumerate(rare)]
+    asked = ["qzx", "qzy", "tuvwxyzz", "né", "common", "x"]
+    rows += [(100 + i, w) for i, w in enumerate(asked)] + [(99, "")]
+    got = {r.doc_id: r.score for r in lm_score.lm_score(docs_of(rows), F.col("doc_id") < 50, token_order=0).collect()}
+    nodes = plain_trie(Counter({b"common": 400_000, **{w.encode(): 1 for w in rare}}), 6, 6)
+    for i, w in enumerate(asked):
+        seq = b" " + w.encode() + b" "
+        want = sum(plain_byte(nodes, seq[:j], seq[j], 6) for j in range(1, len(seq)))
+        assert got[100 + i] - got[99] == pytest.approx(want)
+
+
+def test_packed_runs_and_numbers_round_trip():
+    rng = np.random.default_rng(3)
+    for top in (1, 200, 1 << 20, 1 << 43, (1 << 64) - 1):
+        run = np.sort(rng.integers(0, top, 500, dtype=np.uint64, endpoint=True))
+        for some in (run, run[:1], run[:0]):
+            assert (lm_score.unpack_run(lm_score.pack_run(some)) == some).all()
+            if len(some):
+                assert (lm_score.unpack_keys(lm_score.pack_keys(some)) == some & lm_score.KEY_BITS).all()
+        numbers = rng.integers(-5, 1 << 40, 77)
+        assert (lm_score.unpack_numbers(lm_score.pack_numbers(numbers)) == numbers).all()
+
+
+def test_ranked_counts_inside_documents():
+    keys = np.random.default_rng(4).integers(0, 1 << 63, 9).astype(np.uint64)[np.random.default_rng(5).integers(0, 9, 60)]
+    doc = np.repeat(np.arange(6), 10)
+    place, own = lm_score.ranked(keys, doc)
+    assert (np.unique(keys)[place] == keys).all()
+    assert own.tolist() == [sum((keys == k) & (doc == d)) for k, d in zip(keys, doc, strict=True)]
+    assert [len(x) for x in lm_score.ranked(keys[:0], doc[:0])] == [0, 0]
+    for text in (b"", b"x", b"some words " * 99):
+        assert lm_score.unpack_text(lm_score.pack_text(text)) == text
+
+
 def test_token_contexts_equal_plain_version():
     rng = random.Random(0)
     docs = [[rng.randrange(6) for _ in range(rng.randrange(40))] for _ in range(30)]

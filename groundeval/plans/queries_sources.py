@@ -160,6 +160,15 @@ def file_ordinals(spark, d):
     return parts[0].unionByName(parts[1])
 
 
+OBJECT_BYTES = 64_000_000
+
+
+def object_files(doc) -> int:
+    """A file is written by one task: as many files as keep one at about ``OBJECT_BYTES`` of texts, two at least."""
+    size = doc.agg(F.sum(F.octet_length("QUESTION"))).first()[0] or 0
+    return max(2, -(-size // OBJECT_BYTES))
+
+
 @register("read_keyed_objects", """
 SELECT CAST(doc_id AS VARCHAR) AS id, text AS QUESTION, [source, lang] AS CONTEXTS, 'a, {"b": [' || n_chars || ']}' AS final_decision
 FROM documents""", ("A6", "M5"))
@@ -168,7 +177,7 @@ def read_keyed_objects(spark, d):
     decision = F.concat(F.lit('a, {"b": ['), F.col("n_chars").cast("string"), F.lit("]}"))
     doc = fx.table(spark, d, "documents").select("doc_id", F.col("text").alias("QUESTION"), F.array("source", "lang").alias("CONTEXTS"), decision.alias("final_decision"))
     path = _scratch(spark, "objects")
-    W.write_keyed_objects(doc, path, "doc_id", files=2)
+    W.write_keyed_objects(doc, path, "doc_id", files=object_files(doc))
     return RD.read_keyed_json(spark, path, T.StructType(list(doc.schema.fields[1:])))
 
 

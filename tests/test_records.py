@@ -131,3 +131,12 @@ def test_a_failed_write_leaves_no_run(spark, tmp_path):
     with pytest.raises(Exception):
         W.write_runs(preds, runs, str(tmp_path / "runs"))
     assert not [p for p in (tmp_path / "runs").rglob("part-*") if "_temporary" not in str(p)]
+
+
+def test_objects_are_written_to_more_files_as_texts_grow(spark, monkeypatch):
+    from groundeval.plans import queries_sources as Q
+
+    docs = spark.createDataFrame([(i, "é" * 500) for i in range(20)], "doc_id bigint, QUESTION string")
+    assert Q.object_files(docs) == 2 and Q.object_files(docs.limit(0)) == 2
+    monkeypatch.setattr(Q, "OBJECT_BYTES", 3000)
+    assert Q.object_files(docs) == 7

@@ -140,3 +140,14 @@ def test_objects_are_written_to_more_files_as_texts_grow(spark, monkeypatch):
     assert Q.object_files(docs) == 2 and Q.object_files(docs.limit(0)) == 2
     monkeypatch.setattr(Q, "OBJECT_BYTES", 3000)
     assert Q.object_files(docs) == 7
+
+
+def test_tasks_that_write_runs_rise_with_the_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "RUNS_PER_TASK", 5, raising=False)
+    preds = spark.range(120).select(F.col("id").alias("run_id"), F.lit(0).cast("long").alias("idx"), F.lit("q").alias("question"),
+                                    F.lit("p").alias("pred"), F.array(F.lit("g")).alias("refs"), F.array(F.lit("s")).alias("provenances"))
+    runs = preds.select("run_id", F.struct(F.lit("nq_open").alias("dataset")).alias("params"))
+    W.write_runs(preds, runs, str(tmp_path / "runs"))
+    tasks = {f.name[:10] for f in (tmp_path / "runs").glob("run=*/part-*.txt")}
+    assert len(tasks) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert RD.read_runs(spark, str(tmp_path / "runs")).where("size(pred) = 1").count() == 120

@@ -180,6 +180,26 @@ def test_a_group_of_equal_rows_is_spread(spark, docs_of):
     assert spread >= 5 and pieces.where("start = 0").count() == 400
 
 
+def test_words_are_taken_apart_together_and_stems_encoded_once(monkeypatch):
+    encoder = packing.Encoder(tokenizer_file())
+    asked = []
+    one = encoder._stem
+    monkeypatch.setattr(encoder, "_stem", lambda stem: asked.append(stem) or one(stem))
+    texts = ["Wörd wörd, WÖRD! word Word; word...", "", " \t\n", "İ ı ſo Ÿ ÿ × ÷ a×b née", "it's don't 3.5 </s> <|endoftext|> e\u0301 中文 Ж9", "x" * 300, "word"]
+    texts += [" ".join(texts), "a\x0bb\x0cc\x1cd\x85e\u00a0f"]
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    got = lambda: [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.encode_all([t.encode() for t in texts])]
+    assert got() == want and got() == want
+    assert len(asked) == len(set(asked)) and {"wörd", "word"} <= set(asked)
+    for size in (1, 7, 30):  # pieces end anywhere between texts, long texts are cut at white space
+        monkeypatch.setattr(packing, "PIECE", size)
+        assert got() == want
+    monkeypatch.setattr(packing, "STEMS", 3)  # forgotten stems are encoded again
+    assert got() == want
+    torn = [b"caf\xc3 \xa9 x\xc3", b"\x80a\xc5\xbf", b"\xff"]
+    assert list(encoder.encode_all(torn)) == [b"".join(encoder._full(w.decode("utf-8", "replace")) for w in t.split()) for t in torn]
+
+
 def test_scores_use_counts_of_all_documents(spark, docs_of):
     rows = [(i, f"word{i % 7} other{i % 11} " * (1 + i % 3)) for i in range(200)]
     file = tokenizer_file()

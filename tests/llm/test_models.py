@@ -266,6 +266,26 @@ def test_packed_runs_and_numbers_round_trip():
         assert (lm_score.unpack_numbers(lm_score.pack_numbers(numbers)) == numbers).all()
 
 
+def test_numbers_take_the_byte_places_they_need():
+    rng = np.random.default_rng(8)
+    for top, most in ((3, 0.5), (1 << 8, 1.1), (1 << 16, 2.2)):
+        x = rng.integers(0, top, 1000)
+        packed = lm_score.pack_numbers(x)
+        assert packed[0] == max(1, (top - 1).bit_length() // 8) and len(packed) <= most * len(x)
+    for x in ([], [0], [255], [256], [1 << 62, 0], [-1, 5]):
+        assert lm_score.unpack_numbers(lm_score.pack_numbers(np.array(x, dtype=np.int64))).tolist() == x
+
+
+def test_code_lengths_travel_whole_in_fewer_bytes():
+    rng = np.random.default_rng(8)
+    logs = -40 * rng.random(400) - 1
+    assert len(lm_score.pack_logs(logs)) <= 7.2 * len(logs)
+    for x in (logs, np.zeros(0), np.array([0.0, -0.0, -np.inf, -1e-300, 3.5])):
+        assert lm_score.unpack_logs(lm_score.pack_logs(x)).tobytes() == x.tobytes()
+    table = lm_score.ask_rows(-1, lm_score.TOKEN, np.sort(rng.integers(0, 1 << 63, 400).astype(np.uint64)), 3, np.ones(400), logs)
+    assert np.concatenate([lm_score.unpack_logs(x) for x in table["logs"].to_pylist()]).tobytes() == logs.tobytes()
+
+
 def test_ranked_counts_inside_documents():
     keys = np.random.default_rng(4).integers(0, 1 << 63, 9).astype(np.uint64)[np.random.default_rng(5).integers(0, 9, 60)]
     doc = np.repeat(np.arange(6), 10)

@@ -41,3 +41,28 @@ def test_ranges_hold_every_bit(m_bits, k):
     for w, m in zip(sk._words(h, m_bits).tolist(), sk._masks(h, k).tolist()):
         want[w] = want.get(w, 0) | m
     assert got == {w: int(np.array(m, dtype=np.uint64).view(np.int64)) for w, m in want.items()}
+
+
+def test_words_that_nobody_asks_for_do_not_travel(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = texts(300, 400)
+    corpus = spark.createDataFrame([(t,) for t in docs], "text string")
+    probe = spark.createDataFrame([(1, docs[0][:100]), (2, "z" * 60), (3, None), (4, "")], "id long, text string")
+    sketch = sk.bloom_sketch(corpus)
+    m_bits = sk.sketch_params(sketch)["m_bits"]
+    sent = []
+
+    def runs_of(found):
+        """Rows of the sketch that reach the lookup."""
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        sent.append("LeftSemi" in plan)
+        return sorted((r.key, sorted(r.places)) for r in found.collect())
+
+    few = runs_of(sk._members(probe, sketch, "text", 25, m_bits, sk.HASHES, 1))
+    monkeypatch.setattr(sk, "BROADCAST_WORDS", 0)
+    every = runs_of(sk._members(probe, sketch, "text", 25, m_bits, sk.HASHES, 1))
+    assert few == every and few and sent == [True, False]
+    monkeypatch.setattr(sk, "BROADCAST_WORDS", 1 << 20)
+    with pytest.raises(Exception, match="other parameters"):
+        sk.bloom_overlap(probe, sketch.withColumn("k", F.lit(4).cast("long")), m_bits=m_bits).collect()

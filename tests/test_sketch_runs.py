@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from groundeval.functions.rolling import Powers, many_window_hashes, spread
+from groundeval.functions.rolling import Powers, many_window_hashes, pack_run, pack_set, spread, unpack_set
 from groundeval.operators import sketch as sk
 
 
@@ -66,3 +66,19 @@ def test_words_that_nobody_asks_for_do_not_travel(spark, monkeypatch):
     monkeypatch.setattr(sk, "BROADCAST_WORDS", 1 << 20)
     with pytest.raises(Exception, match="other parameters"):
         sk.bloom_overlap(probe, sketch.withColumn("k", F.lit(4).cast("long")), m_bits=m_bits).collect()
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000])
+@pytest.mark.parametrize("top", [1, 1 << 12, 1 << 30, 1 << 51, (1 << 64) - 1])
+def test_a_set_is_packed_near_its_mean_difference(n, top):
+    rnd = random.Random(n)
+    want = np.array(sorted({rnd.randint(0, top) for _ in range(n)} | ({0, top} if n > 1 else set())), dtype=np.uint64)
+    data = pack_set(want)
+    assert np.array_equal(unpack_set(data), want) and np.array_equal(unpack_set(memoryview(data)), want)
+    if n == 1000 and top == 1 << 51:  # what 6 GB of text send a piece and range: six bytes an entry as differences
+        assert len(data) < 5.5 * n < len(pack_run(want))
+
+
+def test_neighbours_are_packed_too():
+    for want in (np.arange(5000, dtype=np.uint64), np.array([7], dtype=np.uint64), np.array([0, (1 << 64) - 1], dtype=np.uint64)):
+        assert np.array_equal(unpack_set(pack_set(want)), want)

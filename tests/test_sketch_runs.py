@@ -56,7 +56,7 @@ def test_words_that_nobody_asks_for_do_not_travel(spark, monkeypatch):
     def runs_of(found):
         """Rows of the sketch that reach the lookup."""
         plan = found._jdf.queryExecution().optimizedPlan().toString()
-        sent.append("LeftSemi" in plan)
+        sent.append("strategy=broadcast" in plan)
         return sorted((r.key, sorted(r.places)) for r in found.collect())
 
     few = runs_of(sk._members(probe, sketch, "text", 25, m_bits, sk.HASHES, 1))
@@ -64,6 +64,12 @@ def test_words_that_nobody_asks_for_do_not_travel(spark, monkeypatch):
     every = runs_of(sk._members(probe, sketch, "text", 25, m_bits, sk.HASHES, 1))
     assert few == every and few and sent == [True, False]
     monkeypatch.setattr(sk, "BROADCAST_WORDS", 1 << 20)
+    nothing = spark.createDataFrame([(1, "z" * 60)], "id long, text string")  # no word of its own in the sketch
+    with pytest.raises(Exception, match="other parameters"):
+        sk.bloom_overlap(nothing, sketch.withColumn("width", F.lit(7).cast("long")), m_bits=m_bits).collect()
+    stored = spark.createDataFrame(sketch.withColumn("width", F.lit(7).cast("long")).collect())
+    with pytest.raises(Exception, match="other parameters"):
+        sk.bloom_overlap(nothing, stored, m_bits=m_bits).collect()
     with pytest.raises(Exception, match="other parameters"):
         sk.bloom_overlap(probe, sketch.withColumn("k", F.lit(4).cast("long")), m_bits=m_bits).collect()
 
